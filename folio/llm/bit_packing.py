@@ -135,8 +135,9 @@ def _filesystem(folder: str):
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): little-endian unsigned 32-bit ids, the end id last."""
+    """(doc_id, n_tokens, ids): little-endian unsigned ids of 16 bits where the vocabulary allows, else 32; the end id last."""
     ship_package(docs.sparkSession)
+    narrow = width_of(encoder(tokenizer_path).vocabulary) <= 16
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,10 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             keys, at = batch.column(0), 0
             for part in slices(batch.column(1).to_pylist()):
                 got = [x + end for x in own.encode(part)]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(got)), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                lengths = pa.array([len(x) // 4 for x in got], pa.int64())
+                if narrow:
+                    got = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got]
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(got)), lengths, pa.array(got, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 at += len(got)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -169,10 +173,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     if len(cuts):
         bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col("doc_id")))
     width = width_of(encoder(tokenizer_path).vocabulary)
+    kind = "<u2" if width <= 16 else "<u4"
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
         table = table.set_column(0, "doc_id", table["doc_id"].fill_null(NO_ID)).sort_by("doc_id")
-        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<u4")
+        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), kind)
         data = build_file(table["doc_id"].to_numpy(), table["n_tokens"].to_numpy(), ids, width)
         name = f"ids-{key[0].as_py():06d}.fwb"
         files_at, root = _filesystem(folder)

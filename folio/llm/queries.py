@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bit_packing, fuse_dedup, license_rules, line_dedup, packing
+from folio.llm import bit_packing, fuse_dedup, license_rules, line_dedup, packing, simhash
 from folio.llm.rows import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.op4_bit_packed_ids(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op5_pivot_simhash(read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6_line_dedup(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.op10_license_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_fuse_dedup, op4_bit_packed_ids, op6_line_dedup, op8_differencing_windows, op10_license_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_fuse_dedup, op4_bit_packed_ids, op5_pivot_simhash, op6_line_dedup, op8_differencing_windows, op10_license_rules)}
 ORACLES: dict[str, str] = {"op3_fuse_dedup": fuse_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}

@@ -13,8 +13,8 @@ import re
 from array import array
 from itertools import chain
 
-#: Cached pieces in a worker process, at most; the cache starts anew beyond it.
-CACHED_PIECES = 400_000
+#: Pieces in the younger half of a worker's cache, at most; then it becomes the older half, whose unused pieces go.
+CACHED_PIECES = 500_000
 
 #: White space that is neither a space nor a line feed.
 _OTHER_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -35,6 +35,7 @@ class PieceEncoder:
         self.marks = {x: self._merged(x) for x in ".,;:!?"}
         self.spaced: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], missing: list[str], prefix: str) -> None:
         """Letters alone, or letters and one mark, are one or two units of the pre-tokenizer: the model merges those itself."""
@@ -64,7 +65,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.spaced) + len(self.other) > CACHED_PIECES:
-            self.spaced, self.other = {}, {}
+            self.older, self.spaced, self.other = self.spaced, {}, {}
         cut = []  # for each text: (first piece with what stands before it, further words that follow one space)
         for text in texts:
             words = [line.split(" ") for line in text.split("\n")]
@@ -76,6 +77,10 @@ class PieceEncoder:
                 cut.append([(w[0] if at == 0 else "\n" + w[0], w[1:]) for at, w in enumerate(words)])
         runs = list(chain.from_iterable(cut))
         missing = set(chain.from_iterable(rest for _, rest in runs)).difference(self.spaced)
+        if self.older:
+            still = missing.intersection(self.older)
+            self.spaced.update({x: self.older[x] for x in still})
+            missing -= still
         self._learn(self.spaced, list(missing), " ")
         missing = {first for first, _ in runs if first is not None}.difference(self.other)
         self._learn(self.other, list(missing), "")
