@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bit_packing, fuse_dedup, license_rules, line_dedup, packing, simhash
+from folio.llm import bit_packing, context_tree, fuse_dedup, license_rules, line_dedup, packing, simhash
 from folio.llm.rows import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.op2_context_tree(read(spark, sf_dir, "documents"))
+
+
 def op3_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse_dedup.op3_fuse_dedup(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.op10_license_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_fuse_dedup, op4_bit_packed_ids, op5_pivot_simhash, op6_line_dedup, op8_differencing_windows, op10_license_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_context_tree, op3_fuse_dedup, op4_bit_packed_ids, op5_pivot_simhash, op6_line_dedup, op8_differencing_windows, op10_license_rules)}
 ORACLES: dict[str, str] = {"op3_fuse_dedup": fuse_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
