@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bit_packing, context_tree, fuse_dedup, license_rules, line_dedup, packing, simhash
+from folio.llm import bit_packing, context_tree, fuse_dedup, latent_leaks, license_rules, line_dedup, packing, severity, simhash, url_templates
 from folio.llm.rows import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.op1_ordinal_severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.op2_context_tree(read(spark, sf_dir, "documents"))
 
@@ -38,13 +42,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6_line_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.op7_url_templates(read(spark, sf_dir, "pages"))
+
+
 def op8_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8_differencing_windows(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.op9_latent_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.op10_license_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_context_tree, op3_fuse_dedup, op4_bit_packed_ids, op5_pivot_simhash, op6_line_dedup, op8_differencing_windows, op10_license_rules)}
-ORACLES: dict[str, str] = {"op3_fuse_dedup": fuse_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_severity, op2_context_tree, op3_fuse_dedup, op4_bit_packed_ids, op5_pivot_simhash, op6_line_dedup, op7_url_templates, op8_differencing_windows, op9_latent_leaks, op10_license_rules)}
+ORACLES: dict[str, str] = {"op3_fuse_dedup": fuse_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_url_templates": url_templates.ORACLE}
