@@ -18,6 +18,13 @@ than HOT members is dealt out as pairs of chunks.
 Links join distinct fingerprints; equal ones are one node from the start, so
 copies are never expanded.
 
+near_copies() is for a similarity of shingles rather than a radius of bits: at a
+similarity of 0.8, fingerprints lie some 5 to 17 bits apart, too far for block
+keys. There a key is a run of ROWS places of a sketch (the least shingle hash in
+each of BINS ranges), the radius is WIDE, and a survivor of the pivot tables and
+of the bits is a link if AGREE of its sketch places agree, an estimate of the
+similarity with a standard error of 0.035.
+
 Defined cases: a null or empty text, or one of white space alone, has
 fingerprint zero and links like any other; a text of fewer words than a shingle
 is one shingle; a null doc_id keeps its row, and is the smallest of its
@@ -43,30 +50,55 @@ SEED = 42
 PIVOTS = 24
 #: Members of a key beyond which it is dealt out in chunks.
 HOT = 2048
+#: Sketch places, those in a key, the number of keys, the radius and the agreement that near_copies() asks for.
+BINS, ROWS, KEYS, WIDE, AGREE = 128, 5, 12, 20, 0.78
 #: Unrelated fingerprints that a key may hold, about.
 STRANGERS = 8
 
 
-def fingerprint(text: str, shingle: int) -> int:
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
     words = text.encode("utf-8", "replace").translate(LOWER_BYTES).split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[: len(words) - shingle] + 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes."""
     totals = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
-        totals += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        totals += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(totals * 2 > len(hashes), bitorder="little")
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least hash in each of BINS equal ranges, 16 bits of it; an empty range takes the next one's, turned by the distance."""
+    if not len(hashes):
+        return np.zeros(BINS, "<u2")
+    found = np.sort(hashes)
+    shift = np.uint64(64 - BINS.bit_length() + 1)
+    bins = (found >> shift).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    at = np.searchsorted(bins[first], np.arange(BINS))
+    away = np.where(at < len(first), bins[first][at % len(first)], bins[first][0] + BINS) - np.arange(BINS)
+    low = (found[first][at % len(first)] >> np.uint64(20)).astype(np.int64)
+    return ((low + away * 40503) & 0xFFFF).astype("<u2")
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp): the 64 bits as a signed long."""
     ship_package(docs.sparkSession)
@@ -104,20 +136,36 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
 
 
-def _near(fp: np.uint64, table: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int) -> np.ndarray:
-    """Places of those within the radius: the tables discard, the bits decide."""
-    at = np.flatnonzero(np.abs(tables - table).max(axis=1) <= radius)
-    return at[np.bitwise_count(fps[at] ^ fp) <= radius]
+class Members:
+    """Rows of one run: what the tests need, and the id that links carry."""
+
+    def __init__(self, ids: np.ndarray, fps: np.ndarray, tables: np.ndarray, sketches: np.ndarray | None):
+        self.ids, self.fps, self.tables, self.sketches = ids, fps, tables, sketches
+
+    def take(self, at) -> Members:
+        return Members(self.ids[at], self.fps[at], self.tables[at], None if self.sketches is None else self.sketches[at])
+
+    def join(self, other: Members) -> Members:
+        both = lambda a, b: np.concatenate([a, b])
+        return Members(both(self.ids, other.ids), both(self.fps, other.fps), both(self.tables, other.tables), None if self.sketches is None else both(self.sketches, other.sketches))
+
+    def near(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+        """Which of the pairs a[k], b[k] are links: the tables discard, the bits and the sketches decide."""
+        keep = np.flatnonzero(np.abs(self.tables[a] - self.tables[b]).max(axis=1) <= radius)
+        keep = keep[np.bitwise_count(self.fps[a[keep]] ^ self.fps[b[keep]]) <= radius]
+        if self.sketches is not None:
+            keep = keep[(self.sketches[a[keep]] == self.sketches[b[keep]]).mean(axis=1) >= AGREE]
+        return keep
 
 
-def span(fps: np.ndarray, tables: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def span(rows: Members, radius: int) -> list[tuple[int, int]]:
     """Links that join every component of one key's members; those reached are compared no more among themselves."""
-    left, out = np.arange(len(fps)), []
+    left, out = np.arange(len(rows.ids)), []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             own = todo.pop()
-            hit = _near(fps[own], tables[own], fps[left], tables[left], radius)
+            hit = rows.near(np.full(len(left), own), left, radius)
             if len(hit):
                 reached = left[hit]
                 out += [(int(own), int(x)) for x in reached]
@@ -126,52 +174,48 @@ def span(fps: np.ndarray, tables: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
-def _links_of(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_of(keys: np.ndarray, rows: Members, radius: int) -> pa.RecordBatch:
     """Links within runs of equal keys. Short runs are compared offset by offset, all runs at once."""
     starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.empty(0, int)
     sizes = np.diff(np.append(starts, len(keys)))
     pairs = [np.empty((0, 2), np.int64)]
-    small = np.repeat(sizes <= 32, sizes)
-    place = np.arange(len(keys)) - np.repeat(starts, sizes)
     size = np.repeat(sizes, sizes)
+    place = np.arange(len(keys)) - np.repeat(starts, sizes)
     for step in range(1, 32):
-        a = np.flatnonzero(small & (place + step < size))
+        a = np.flatnonzero((size <= 32) & (place + step < size))
         if not len(a):
             break
-        b = a + step
-        keep = np.abs(tables[a] - tables[b]).max(axis=1) <= radius
-        a, b = a[keep], b[keep]
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        pairs.append(np.stack([a[keep], b[keep]], axis=1))
+        a = a[rows.near(a, a + step, radius)]
+        pairs.append(np.stack([a, a + step], axis=1))
     for start, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        own = span(fps[start : start + n], tables[start : start + n], radius)
+        own = span(rows.take(slice(start, start + n)), radius)
         pairs.append(np.array(own, np.int64).reshape(-1, 2) + start)
     found = np.concatenate(pairs)
-    return fps[found[:, 0]].view(np.int64), fps[found[:, 1]].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(rows.ids[found[:, 0]]), pa.array(rows.ids[found[:, 1]])], ["a", "b"])
 
 
 def _links(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
-    """Links of rows that are sorted by `columns` within their partitions."""
-    width = len(columns)
+    """Links of rows that are sorted by `columns` within their partitions. keyed: columns, node, fp, pivots and perhaps sketch."""
+    width, sketched = len(columns), "sketch" in keyed.columns
+    matrix = lambda column, kind, n: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(width)], axis=1)
-            fps = batch.column(width).to_numpy().view(np.uint64)
-            tables = np.frombuffer(b"".join(batch.column(width + 1).to_pylist()), np.int8).reshape(-1, PIVOTS)
+            rows = Members(batch.column(width).to_numpy(), batch.column(width + 1).to_numpy().view(np.uint64), matrix(batch.column(width + 2), np.int8, PIVOTS), matrix(batch.column(width + 3), "<u2", BINS) if sketched else None)
             if held:
-                keys, fps, tables = (np.concatenate(x) for x in zip(held, (keys, fps, tables), strict=True))
+                keys, rows = np.concatenate([held[0], keys]), held[1].join(rows)
             # The last run may go on in the next batch.
             change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
             cut = int(change[-1]) + 1 if len(change) else 0
-            held = keys[cut:], fps[cut:], tables[cut:]
+            held = keys[cut:], rows.take(slice(cut, None))
             if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _links_of(keys[:cut], fps[:cut], tables[:cut], radius)], ["a", "b"])
+                yield _links_of(keys[:cut], rows.take(slice(0, cut)), radius)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _links_of(*held, radius)], ["a", "b"])
+            yield _links_of(*held, radius)
 
-    return keyed.select(*columns, "fp", "pivots").mapInArrow(run, "a long, b long")
+    return keyed.select(*columns, "node", "fp", "pivots", *["sketch"] * sketched).mapInArrow(run, "a long, b long")
 
 
 def with_pivots(distinct: DataFrame) -> DataFrame:
@@ -184,26 +228,31 @@ def with_pivots(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "fp long, pivots binary")
 
 
-def near_links(distinct: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """(a, b) of distinct fingerprints within the radius: enough of them to join every component, and no other."""
-    masks = block_masks(block_count(distinct.count(), radius), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    table = with_pivots(distinct)
-    keys = F.array(*[F.struct(F.lit(at).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for at, m in enumerate(signed)])
-    keyed = written(table.select("fp", "pivots", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", "pivots"), "keyed")
+def links_within(keyed: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """(a, b): links among rows of one (choice, key), enough to join its components. A key of more than `hot` rows is dealt out as pairs of chunks."""
     many = written(keyed.groupBy("choice", "key").count().where(F.col("count") > hot), "hot-keys")
     cold = keyed
     found = None
     if not many.isEmpty():
         cold = keyed.join(many.select("choice", "key"), ["choice", "key"], "left_anti")
         chunks = F.ceil(F.col("count") / hot).cast("long")
-        dealt = keyed.join(many, ["choice", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        dealt = dealt.select("choice", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "pivots")
-        found = _links(dealt.repartition("choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y"), ["choice", "key", "x", "y"], radius)
+        dealt = keyed.join(many, ["choice", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other", "count")
+        cell = ["choice", "key", "x", "y"]
+        found = _links(dealt.repartition(*cell).sortWithinPartitions(*cell), cell, radius)
     links = _links(cold.repartition("choice", "key").sortWithinPartitions("choice", "key"), ["choice", "key"], radius)
     return links if found is None else links.union(found)
 
 
+def near_links(distinct: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """(a, b) of distinct fingerprints within the radius: enough of them to join every component, and no other."""
+    masks = block_masks(block_count(distinct.count(), radius), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(at).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for at, m in enumerate(signed)])
+    keyed = with_pivots(distinct).select(F.col("fp").alias("node"), "fp", "pivots", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots")
+    return links_within(written(keyed, "keyed"), radius, hot)
+
+
 def near_components(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
@@ -217,3 +266,52 @@ def near_components(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
 def op5_pivot_simhash(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     return near_components(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, fp, sketch): node is a hash of fingerprint and sketch, the same for all copies."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(x, shingle) for x in batch.column(1).to_pylist()]
+            fps = np.array([majority(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([sketch(x).tobytes() for x in found], pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, hot: int = HOT) -> DataFrame:
+    """doc_id and component_id by a similarity of shingles of 0.8 or more, as estimated; see the module's text."""
+    prints = written(sketched(docs, shingle), "sketches")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "nodes")
+    table = with_pivots(nodes.select("fp").distinct())
+    rows = nodes.join(table, "fp")
+    # A key is a hash of the places' bytes, two a place.
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.xxhash64(F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(KEYS)])
+    keyed = rows.select("node", "fp", "pivots", "sketch", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots", "sketch")
+    # Only keys that two nodes share can link: the others go before the rows with their sketches move.
+    shared = keyed.groupBy("choice", "key").count().where("count > 1").select("choice", "key")
+    roots = components(links_within(written(keyed.join(shared, ["choice", "key"], "left_semi"), "keyed"), WIDE, hot))
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs with one document of each group of near copies, the one of the smallest doc_id; the columns stay.
+
+    Of rows that share the doc_id that stays, one stays. A null doc_id counts as smaller than any.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.withColumn("_id", own)
+    found = written(near_copies(rows.select(F.col("_id").alias("doc_id"), "text"), shingle), "near-copies")
+    staying = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = rows.join(staying, "_id", "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id"])
+    return kept.select(*docs.columns)
