@@ -34,7 +34,7 @@ from folio.llm.rows import LOWER_BYTES, id_and_text
 from folio.session import ship_package
 
 BITS = 18
-SAMPLE = 8_000
+SAMPLE = 4_000
 GRADES = 3
 PREFIXES = (4, 5, 6)
 RUN_CHARS = 2_000_000
