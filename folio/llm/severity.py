@@ -41,8 +41,8 @@ RUN_CHARS = 2_000_000
 #: A feature must stand in so many sampled documents to have a weight.
 LEAST_DOCS = 5
 STEPS, RATE, DECAY = 160, 0.3, 2e-4
-#: One sampled row in so many is kept from a first fit, to set the cut-off.
-KEPT = 4
+#: One sampled row in so many is kept from a first fit, to set the cut-off, if so many of them at least are toxic; else it is one half.
+KEPT, LEAST_TOXIC = 4, 20
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in LOWER_BYTES)
 
@@ -158,10 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 def fit_with_cut(place: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray) -> Model:
     kept = np.arange(len(grades)) % KEPT == 0
+    whole = fit_cumulative(place, feature, value, grades)
+    if (grades[kept] > 0).sum() < LEAST_TOXIC:
+        return whole
     own = ~kept[place]
     first = fit_cumulative((np.cumsum(~kept) - 1)[place[own]], feature[own], value[own], grades[~kept])
     margin = np.bincount(place, first.weights[feature] * value, minlength=len(grades))[kept]
-    return fit_cumulative(place, feature, value, grades)._replace(cut=best_cut(probabilities(margin, first.thresholds)[:, 0], grades[kept] > 0))
+    return whole._replace(cut=best_cut(probabilities(margin, first.thresholds)[:, 0], grades[kept] > 0))
 
 
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
