@@ -27,7 +27,7 @@ m AS (SELECT doc_id, pos, CASE pos % 8 WHEN 0 THEN '## ' || substr(text, 1, 40)
 # The text functions again, in the other dialect.
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 WORDS = f"list_filter(string_split({SQUEEZE}, ' '), lambda w: w <> '')"
-LAYOUT = r"lower(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '[.,;:!?\"' || chr(39) || '()\[\]*_`~]', '', 'g'), '\s+', ' ', 'g')))"
+LAYOUT = r"lower(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '“”‘’–—', chr(34) || chr(34) || chr(39) || chr(39) || '--'), '[.,;:!?\"' || chr(39) || '()\[\]*_`~]', '', 'g'), '\s+', ' ', 'g')))"
 TERMINAL = r"regexp_matches(rtrim({0}), '[.!?…][\"' || chr(39) || ')\]»”]*$')"
 INCOMPLETE = r"regexp_matches(rtrim({0}), '[A-Za-z0-9,;:\-(\[]$')"
 CONTINUES = r"regexp_matches(ltrim({0}), '^[a-z0-9]')"
