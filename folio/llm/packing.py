@@ -35,7 +35,7 @@ CAPACITY = 1024
 #: Ids in a piece of a document's rest, at most.
 PIECE = 256
 #: Documents in a group, about.
-GROUP_DOCS = 400
+GROUP_DOCS = 200
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "full"]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, full boolean"
