@@ -326,3 +326,15 @@ def test_op9_finds_passages_and_paraphrases(spark, none):
 
 def test_longest_common():
     assert latent_leaks.longest_common([b"a", b"b", b"c", b"d"], [b"x", b"a", b"c", b"y", b"d"])[0] == 3
+
+
+def test_word_features_do_not_depend_on_what_is_around():
+    from folio.llm import latent_leaks as L
+
+    texts = ["Hello wörld  foo,bar", "", "  ", None, "a" * 50 + " b Hello", "x", "hello FOO"]
+    ((first, run),) = L.runs(texts)
+    words = [w for x in texts for w in L.words_of(x)]
+    assert first == 0
+    assert run.lengths.tolist() == [len(L.words_of(x)) for x in texts]
+    assert run.flat.tolist() == [int(L.numbered([w])[0]) for w in words]
+    assert list(L.runs([])) == []
