@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as tx
 from folio.operators import sequences as sq
 from folio.operators import summaries as sm
-from folio.sources.tables import blocks, marked, paragraphs, table
+from folio.sources.tables import blocks, marked, paragraphs, table, whole_marked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,13 @@ MARKED = (
 m AS (SELECT doc_id, pos, CASE pos % 8 WHEN 0 THEN '## ' || substr(text, 1, 40) WHEN 1 THEN '- ' || substr(text, 1, 60) WHEN 2 THEN '12. ' || substr(text, 1, 60)
       WHEN 3 THEN substr(text, 1, 30) || ' ..... ' || (pos + 5) WHEN 4 THEN pos::VARCHAR ELSE text END AS text FROM p)"""
 )
+# The forms around whole lines: what the `whole_` queries read.
+WHOLE = (
+    LINES
+    + """,
+m AS (SELECT doc_id, (pos + (pos + 3) // 8)::INTEGER AS pos, CASE pos % 8 WHEN 0 THEN '## ' || text WHEN 1 THEN '- ' || text WHEN 2 THEN '12. ' || text WHEN 3 THEN text || ' ..... ' || (pos + 5) ELSE text END AS text FROM p
+      UNION ALL SELECT doc_id, (pos + (pos + 3) // 8 + 1)::INTEGER, pos::VARCHAR FROM p WHERE pos % 8 = 4)"""
+)
 # The text functions again, in the other dialect.
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 WORDS = f"list_filter(string_split({SQUEEZE}, ' '), lambda w: w <> '')"
@@ -49,10 +57,15 @@ KIND = (
 
 
 def query(oracle: str | None):
+    """Registers a query; one that reads the cut lines of MARKED also as whole_..., which reads whole lines."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
             ORACLES[f.__name__] = oracle
+            if MARKED in oracle:
+                QUERIES[f"whole_{f.__name__}"] = partial(f, forms=whole_forms_of)
+                ORACLES[f"whole_{f.__name__}"] = oracle.replace(MARKED, WHOLE)
         return f
 
     return add
@@ -66,11 +79,15 @@ def forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(lines_of(spark, sf_dir))
 
 
+def whole_forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_marked(lines_of(spark, sf_dir))
+
+
 def over_forms(name: str, make: Callable, sql: str) -> None:
     """One text function over every line, as a column `value`."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return forms_of(spark, sf_dir).select("doc_id", "pos", make(F.col("text")).alias("value"))
+    def run(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+        return forms(spark, sf_dir).select("doc_id", "pos", make(F.col("text")).alias("value"))
 
     run.__name__ = name
     query(f"WITH {MARKED} SELECT doc_id, pos, {sql} AS value FROM m")(run)
@@ -86,6 +103,9 @@ over_forms("text_preview", tx.preview, f"CASE WHEN length({SQUEEZE.format(T)}) <
 over_forms("text_halve_repeated", lambda c: tx.halve_repeated(F.concat(F.substring(c, 1, 20), F.lit(" "), F.substring(c, 1, 20))), f"""(SELECT CASE WHEN len(w) >= 4 AND len(w) % 2 = 0 AND w[1:len(w)//2] = w[len(w)//2+1:] THEN array_to_string(w[1:len(w)//2], ' ') ELSE array_to_string(w, ' ') END
     FROM (SELECT {WORDS.format("substr(text, 1, 20) || ' ' || substr(text, 1, 20)")} AS w))""")
 over_forms("text_identity", tx.identity_component, r"substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80)")
+#: The cut to 20 characters is in the SQL of text_halve_repeated; this one repeats the whole line.
+QUERIES["whole_text_halve_repeated"] = lambda spark, sf_dir: whole_forms_of(spark, sf_dir).select("doc_id", "pos", tx.halve_repeated(F.concat("text", F.lit(" "), "text")).alias("value"))
+ORACLES["whole_text_halve_repeated"] = ORACLES["whole_text_halve_repeated"].replace("substr(text, 1, 20)", "text")
 over_forms("is_terminal", tx.ends_terminal, TERMINAL.format(T))
 over_forms("is_incomplete", tx.ends_incomplete, INCOMPLETE.format(T))
 over_forms("is_continuation", tx.starts_continuation, CONTINUES.format(T))
@@ -106,8 +126,8 @@ def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {MARKED} SELECT doc_id, pos, 'b_' || lpad((pos + 1)::VARCHAR, 6, '0') AS block_id, substr(sha256(text), 1, 16) AS text_hash, length(text) AS char_count, length(regexp_replace(text, '\\s', '', 'g')) AS solid_count, {KIND.format(T)} AS kind FROM m")
-def cleanup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(forms_of(spark, sf_dir))
+def cleanup_blocks(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return blocks(forms(spark, sf_dir))
 
 
 PAIRS = f"""{MARKED}, n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS nt FROM m),
@@ -118,40 +138,40 @@ d AS (SELECT doc_id, pos, CASE WHEN blocked THEN 'keep' WHEN (o AND c) OR o::INT
 
 
 @query(f"WITH {PAIRS} SELECT * FROM d")
-def boundary_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.boundary_decisions(forms_of(spark, sf_dir))
+def boundary_decisions(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.boundary_decisions(forms(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS} SELECT decision, confidence, count(*) AS n FROM d GROUP BY decision, confidence")
-def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.boundary_decisions(forms_of(spark, sf_dir)).groupBy("decision", "confidence").agg(F.count("pos").alias("n"))
+def decision_counts(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.boundary_decisions(forms(spark, sf_dir)).groupBy("decision", "confidence").agg(F.count("pos").alias("n"))
 
 
 @query(f"""WITH {PAIRS}, j AS (SELECT m.*, sum(CASE WHEN d.pos IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY m.doc_id ORDER BY m.pos) AS chain
     FROM m LEFT JOIN d ON d.doc_id = m.doc_id AND d.pos + 1 = m.pos AND d.decision = 'merge' AND d.confidence = 'high')
     SELECT doc_id, min(pos) AS first_pos, count(*) AS n_rows, {SQUEEZE.format("string_agg(text, ' ' ORDER BY pos)")} AS text FROM j GROUP BY doc_id, chain""")
-def merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.merge_chains(forms_of(spark, sf_dir))
+def merge_chains(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.merge_chains(forms(spark, sf_dir))
 
 
 RUNS = "k AS (SELECT doc_id, pos, {0} AS key FROM {1}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS g FROM k)"
 
 
 @query(f"WITH {MARKED}, {RUNS.format(KIND.format(T), 'm')} SELECT doc_id, key, min(pos) AS first_pos, count(*) AS length FROM r GROUP BY doc_id, key, g")
-def kind_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.runs(forms_of(spark, sf_dir), tx.block_kind(F.col("text")))
+def kind_runs(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.runs(forms(spark, sf_dir), tx.block_kind(F.col("text")))
 
 
 @query(f"WITH {MARKED}, {RUNS.format(TOC.format(T), 'm')} SELECT doc_id, min(pos) AS first_pos, count(*) AS length FROM r WHERE key GROUP BY doc_id, g")
-def toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.toc_regions(forms_of(spark, sf_dir))
+def toc_regions(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.toc_regions(forms(spark, sf_dir))
 
 
 @query(f"""WITH {MARKED}, h AS (SELECT doc_id, pos, CASE WHEN {LEVEL.format(T)} IS NOT NULL THEN pos END AS head_pos FROM m)
     SELECT doc_id, pos, max(head_pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_pos,
            min(head_pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_pos FROM h""")
-def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.nearest(forms_of(spark, sf_dir), tx.heading_level(F.col("text")).isNotNull())
+def nearest_heading(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.nearest(forms(spark, sf_dir), tx.heading_level(F.col("text")).isNotNull())
 
 
 @query(f"""WITH RECURSIVE {MARKED}, w AS (
@@ -160,8 +180,8 @@ def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
              CASE WHEN w.size + 2 + length(m.text) <= 2000 THEN w.size + 2 + length(m.text) ELSE length(m.text) END
       FROM w JOIN m ON m.doc_id = w.doc_id AND m.pos = w.pos + 1)
     SELECT doc_id, chunk, count(*) AS n_rows, sum(n) + 2 * (count(*) - 1) AS n_chars FROM w GROUP BY doc_id, chunk""")
-def chunk_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.greedy_chunks(forms_of(spark, sf_dir), 2000)
+def chunk_jobs(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sq.greedy_chunks(forms(spark, sf_dir), 2000)
 
 
 @query(f"WITH {LINES} SELECT doc_id, pos, CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN 0 ELSE round(pos::DOUBLE / (count(*) OVER (PARTITION BY doc_id) - 1), 4) END AS fraction FROM p")
@@ -181,16 +201,16 @@ REPORT = f"""{MARKED}, rep AS (SELECT doc_id, count(*) AS n_rows, count(*) FILTE
 
 
 @query(f"WITH {REPORT} SELECT * FROM rep")
-def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.document_report(forms_of(spark, sf_dir))
+def document_report(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    return sm.document_report(forms(spark, sf_dir))
 
 
 @query(f"""WITH {REPORT} SELECT doc_id, concat_ws(',', CASE WHEN headings > 0 AND NOT heading_share <= 0.3 THEN 'few_headings' END, CASE WHEN NOT longest <= 2000 THEN 'longest' END, CASE WHEN n_rows >= 5 AND NOT page_numbers = 0 THEN 'page_numbers' END) AS failed,
     CASE WHEN (headings > 0 AND NOT heading_share <= 0.3) OR NOT longest <= 2000 OR (n_rows >= 5 AND NOT page_numbers = 0) THEN 'fail' ELSE 'pass' END AS verdict FROM rep""")
-def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def acceptance_checks(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
     c = F.col
     checks = {"few_headings": (c("headings") > 0, c("heading_share") <= 0.3), "longest": (F.lit(True), c("longest") <= 2000), "page_numbers": (c("n_rows") >= 5, c("page_numbers") == 0)}
-    return sm.check_table(sm.document_report(forms_of(spark, sf_dir)), checks).select("doc_id", "failed", "verdict")
+    return sm.check_table(sm.document_report(forms(spark, sf_dir)), checks).select("doc_id", "failed", "verdict")
 
 
 @query("SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS cost, count(value) AS costed FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))")
@@ -228,9 +248,9 @@ def uncovered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MARKED}, h AS (SELECT doc_id, pos, {LEVEL.format(T)} IS NOT NULL AS head FROM m), s AS (SELECT doc_id, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), 2147483647) AS next FROM h WHERE head)
     SELECT h.doc_id, h.pos, s.start FROM h JOIN s ON h.doc_id = s.doc_id AND h.pos >= s.start AND h.pos < s.next""")
-def segment_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_of_row(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
     """A range join of rows and their segments, as the last heading seen: one window, no join."""
-    rows = forms_of(spark, sf_dir)
+    rows = forms(spark, sf_dir)
     start = F.last(F.when(tx.heading_level(F.col("text")).isNotNull(), F.col("pos")), True).over(sq.by_place().rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("doc_id", "pos", start.alias("start")).where("start IS NOT NULL")
 
@@ -261,8 +281,8 @@ def pairwise_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MARKED}, e AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'delete_block' ELSE 'remove_noise' END AS op, substr(sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END), 1, 16) AS text_hash, 'the' AS noise FROM m WHERE pos % 5 IN (0, 2)),
     x AS (SELECT m.doc_id, m.pos, m.text, e.op, CASE WHEN e.op IS NULL THEN 'none' WHEN substr(sha256(m.text), 1, 16) <> e.text_hash THEN 'stale' ELSE 'applied' END AS outcome FROM m LEFT JOIN e USING (doc_id, pos))
     SELECT doc_id, pos, outcome, CASE WHEN outcome = 'applied' AND op = 'delete_block' THEN NULL WHEN outcome = 'applied' THEN replace(text, 'the', '') ELSE text END AS text FROM x""")
-def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = forms_of(spark, sf_dir)
+def apply_edits(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    rows = forms(spark, sf_dir)
     made_for = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     op = F.when(F.col("pos") % 5 == 0, "delete_block").otherwise("remove_noise")
     edits = rows.where("pos % 5 IN (0, 2)").select("doc_id", "pos", op.alias("op"), F.substring(F.sha2(made_for.cast("binary"), 256), 1, 16).alias("text_hash"), F.lit("the").alias("noise"))
@@ -276,8 +296,8 @@ def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MARKED}, s AS (SELECT doc_id, pos, {KIND.format(T)} AS kind, row_number() OVER (PARTITION BY doc_id, {KIND.format(T)} ORDER BY pos) AS nth FROM m) SELECT doc_id, kind, pos, nth FROM s WHERE nth <= 3""")
-def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = forms_of(spark, sf_dir).select("doc_id", "pos", tx.block_kind(F.col("text")).alias("kind"))
+def first_samples(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
+    own = forms(spark, sf_dir).select("doc_id", "pos", tx.block_kind(F.col("text")).alias("kind"))
     return own.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("pos"))).where("nth <= 3")
 
 

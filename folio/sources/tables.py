@@ -29,6 +29,21 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", form)
 
 
+def whole_marked(rows: DataFrame) -> DataFrame:
+    """Paragraphs with the same forms around their whole lines; a page number is a row of its own after every eighth line, and later rows move down."""
+    t, at = F.col("text"), F.col("pos") % 8
+    place = (F.col("pos") + F.floor((F.col("pos") + 3) / 8)).cast("int")
+    form = (
+        F.when(at == 0, F.concat(F.lit("## "), t))
+        .when(at == 1, F.concat(F.lit("- "), t))
+        .when(at == 2, F.concat(F.lit("12. "), t))
+        .when(at == 3, F.concat(t, F.lit(" ..... "), (F.col("pos") + 5).cast("string")))
+        .otherwise(t)
+    )
+    line, number = F.struct(place.alias("pos"), form.alias("text")), F.struct((place + 1).alias("pos"), F.col("pos").cast("string").alias("text"))
+    return rows.select("doc_id", F.inline(F.when(at == 4, F.array(line, number)).otherwise(F.array(line))))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """Cleanup blocks: id, hash, counts and kind of each row."""
     from folio.functions import text as tx

@@ -79,3 +79,14 @@ def test_stream_progress(spark, tmp_path):
         assert [(r.k, r.completed, r.seen, r.ratio) for r in spark.table("progress_test").collect()] == [("a", 1, 2, 0.5)]
     finally:
         q.stop()
+
+
+def test_whole_forms_keep_every_line(spark):
+    names = [n for n in library.QUERIES if f"whole_{n}" in library.QUERIES]
+    assert len(names) == 32
+    text = "\n".join(f"{k} " + "long words " * 9 + "end" for k in range(21))
+    rows = library.whole_marked(library.paragraphs(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))).orderBy("doc_id", "pos").collect()
+    own = [r for r in rows if r.doc_id == 1]
+    assert [r.pos for r in own] == list(range(24)) and [r.text for r in own if r.text.isdigit()] == ["4", "12", "20"]
+    assert all(line in r.text for line, r in zip(text.split("\n"), [r for r in own if not r.text.isdigit()], strict=True))
+    assert [(r.pos, r.text) for r in rows if r.doc_id == 2] == [(0, "## ")]
