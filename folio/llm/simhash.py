@@ -18,12 +18,14 @@ than HOT members is dealt out as pairs of chunks.
 Links join distinct fingerprints; equal ones are one node from the start, so
 copies are never expanded.
 
-near_copies() is for a similarity of shingles rather than a radius of bits: at a
-similarity of 0.8, fingerprints lie some 5 to 17 bits apart, too far for block
-keys. There a key is a run of ROWS places of a sketch (the least shingle hash in
-each of BINS ranges), the radius is WIDE, and a survivor of the pivot tables and
-of the bits is a link if AGREE of its sketch places agree, an estimate of the
-similarity with a standard error of 0.035.
+near_copies() is for a similarity of shingle sets of 0.8 or more rather than a
+radius of bits: fingerprints lie some 5 to 17 bits apart there, too far for block
+keys. A node is a distinct shingle set. A key is a run of ROWS places of a sketch
+(the least shingle hash in each of BINS ranges), and the pivot tables, the bits
+(radius WIDE) and LOOSE of the places' agreement only screen: what they join are
+groups of candidates. Within a group the sets themselves, read from the written
+table, decide each link by their exact similarity. A pair is missed only if it
+shares no key or the screens drop it, which at 0.8 is rare even for short texts.
 
 Defined cases: a null or empty text, or one of white space alone, has
 fingerprint zero and links like any other; a text of fewer words than a shingle
@@ -44,14 +46,16 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components
 from folio.llm.rows import LOWER_BYTES, id_and_text
-from folio.session import ship_package, written
+from folio.session import discard, ship_package, written
 
 SEED = 42
 PIVOTS = 24
 #: Members of a key beyond which it is dealt out in chunks.
 HOT = 2048
-#: Sketch places, those in a key, the number of keys, the radius and the agreement that near_copies() asks for.
-BINS, ROWS, KEYS, WIDE, AGREE = 128, 5, 12, 20, 0.78
+#: Sketch places, those in a key, the number of keys, and the radius and the agreement that screen candidates of near_copies().
+BINS, ROWS, KEYS, WIDE, LOOSE = 128, 5, 26, 28, 0.25
+#: Bytes of shingle sets beyond which a group of candidates is dealt out in chunks.
+HOT_BYTES = 32 << 20
 #: Unrelated fingerprints that a key may hold, about.
 STRANGERS = 8
 
@@ -136,25 +140,37 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets have a Jaccard similarity of 0.8 or more."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a) or 5 * len(a) < 4 * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
 class Members:
     """Rows of one run: what the tests need, and the id that links carry."""
 
-    def __init__(self, ids: np.ndarray, fps: np.ndarray, tables: np.ndarray, sketches: np.ndarray | None):
-        self.ids, self.fps, self.tables, self.sketches = ids, fps, tables, sketches
+    def __init__(self, ids: np.ndarray, fps: np.ndarray, tables: np.ndarray, sketches: np.ndarray | None, sets: np.ndarray | None = None):
+        self.ids, self.fps, self.tables, self.sketches, self.sets = ids, fps, tables, sketches, sets
 
     def take(self, at) -> Members:
-        return Members(self.ids[at], self.fps[at], self.tables[at], None if self.sketches is None else self.sketches[at])
+        return Members(self.ids[at], self.fps[at], self.tables[at], None if self.sketches is None else self.sketches[at], None if self.sets is None else self.sets[at])
 
     def join(self, other: Members) -> Members:
-        both = lambda a, b: np.concatenate([a, b])
-        return Members(both(self.ids, other.ids), both(self.fps, other.fps), both(self.tables, other.tables), None if self.sketches is None else both(self.sketches, other.sketches))
+        both = lambda a, b: None if a is None else np.concatenate([a, b])
+        return Members(both(self.ids, other.ids), both(self.fps, other.fps), both(self.tables, other.tables), both(self.sketches, other.sketches), both(self.sets, other.sets))
 
     def near(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-        """Which of the pairs a[k], b[k] are links: the tables discard, the bits and the sketches decide."""
+        """Which of the pairs a[k], b[k] are links: the tables discard, the bits decide, or where there are sets the sets."""
         keep = np.flatnonzero(np.abs(self.tables[a] - self.tables[b]).max(axis=1) <= radius)
         keep = keep[np.bitwise_count(self.fps[a[keep]] ^ self.fps[b[keep]]) <= radius]
         if self.sketches is not None:
-            keep = keep[(self.sketches[a[keep]] == self.sketches[b[keep]]).mean(axis=1) >= AGREE]
+            keep = keep[(self.sketches[a[keep]] == self.sketches[b[keep]]).mean(axis=1) >= LOOSE]
+        if self.sets is not None:
+            keep = keep[np.array([alike(self.sets[x], self.sets[y]) for x, y in zip(a[keep], b[keep], strict=True)], bool)]
         return keep
 
 
@@ -195,15 +211,20 @@ def _links_of(keys: np.ndarray, rows: Members, radius: int) -> pa.RecordBatch:
 
 
 def _links(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
-    """Links of rows that are sorted by `columns` within their partitions. keyed: columns, node, fp, pivots and perhaps sketch."""
-    width, sketched = len(columns), "sketch" in keyed.columns
+    """Links of rows that are sorted by `columns` within their partitions. keyed: columns, node, fp, pivots and perhaps sketch, and perhaps shingles."""
+    width, more = len(columns), [x for x in ("sketch", "shingles") if x in keyed.columns]
     matrix = lambda column, kind, n: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, n)
 
+    def arrays(column) -> np.ndarray:
+        out = np.empty(len(column), object)
+        out[:] = [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(width)], axis=1)
-            rows = Members(batch.column(width).to_numpy(), batch.column(width + 1).to_numpy().view(np.uint64), matrix(batch.column(width + 2), np.int8, PIVOTS), matrix(batch.column(width + 3), "<u2", BINS) if sketched else None)
+            rows = Members(batch.column(width).to_numpy(), batch.column(width + 1).to_numpy().view(np.uint64), matrix(batch.column(width + 2), np.int8, PIVOTS), matrix(batch.column(width + 3), "<u2", BINS) if more else None, arrays(batch.column(width + 4)) if len(more) == 2 else None)
             if held:
                 keys, rows = np.concatenate([held[0], keys]), held[1].join(rows)
             # The last run may go on in the next batch.
@@ -215,7 +236,7 @@ def _links(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
         if held:
             yield _links_of(*held, radius)
 
-    return keyed.select(*columns, "node", "fp", "pivots", *["sketch"] * sketched).mapInArrow(run, "a long, b long")
+    return keyed.select(*columns, "node", "fp", "pivots", *more).mapInArrow(run, "a long, b long")
 
 
 def with_pivots(distinct: DataFrame) -> DataFrame:
@@ -229,15 +250,18 @@ def with_pivots(distinct: DataFrame) -> DataFrame:
 
 
 def links_within(keyed: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """(a, b): links among rows of one (choice, key), enough to join its components. A key of more than `hot` rows is dealt out as pairs of chunks."""
-    many = written(keyed.groupBy("choice", "key").count().where(F.col("count") > hot), "hot-keys")
+    """(a, b): links among rows of one (choice, key), enough to join its components. A key of more than `hot` rows, or HOT_BYTES of sets, is dealt out as pairs of chunks."""
+    parts = F.ceil(F.count(F.lit(1)) / hot)
+    if "shingles" in keyed.columns:
+        parts = F.greatest(parts, F.ceil(F.sum(F.length("shingles")) / HOT_BYTES))
+    many = written(keyed.groupBy("choice", "key").agg(parts.cast("long").alias("parts")).where("parts > 1"), "hot-keys")
     cold = keyed
     found = None
     if not many.isEmpty():
         cold = keyed.join(many.select("choice", "key"), ["choice", "key"], "left_anti")
-        chunks = F.ceil(F.col("count") / hot).cast("long")
+        chunks = F.col("parts")
         dealt = keyed.join(many, ["choice", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other", "count")
+        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other", "parts")
         cell = ["choice", "key", "x", "y"]
         found = _links(dealt.repartition(*cell).sortWithinPartitions(*cell), cell, radius)
     links = _links(cold.repartition("choice", "key").sortWithinPartitions("choice", "key"), ["choice", "key"], radius)
@@ -269,33 +293,52 @@ def op5_pivot_simhash(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Dat
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, fp, sketch): node is a hash of fingerprint and sketch, the same for all copies."""
+    """(doc_id, node, fp, sketch, shingles): the set of shingle hashes, ascending; node is its hash, and the others follow from it too."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(x, shingle) for x in batch.column(1).to_pylist()]
+        import xxhash
+
+        # Few rows at a time: sets are larger than texts.
+        for batch in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
+            found = [np.unique(shingle_hashes(x, shingle)).astype("<u8") for x in batch.column(1).to_pylist()]
+            sets = [x.tobytes() for x in found]
+            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
             fps = np.array([majority(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([sketch(x).tobytes() for x in found], pa.binary())], ["doc_id", "fp", "sketch"])
+            sketches = pa.array([sketch(x).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(fps), sketches, pa.array(sets, pa.binary())], ["doc_id", "node", "fp", "sketch", "shingles"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
+    return id_and_text(docs).mapInArrow(run, "doc_id long, node long, fp long, sketch binary, shingles binary")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, hot: int = HOT) -> DataFrame:
-    """doc_id and component_id by a similarity of shingles of 0.8 or more, as estimated; see the module's text."""
+    """doc_id and component_id by links of a shingle similarity of 0.8 or more; see the module's text."""
     prints = written(sketched(docs, shingle), "sketches")
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "nodes")
     table = with_pivots(nodes.select("fp").distinct())
     rows = nodes.join(table, "fp")
-    # A key is a hash of the places' bytes, two a place.
-    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.xxhash64(F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(KEYS)])
+    # A key is a hash of the places' bytes, two a place; the last run goes on at the first place.
+    places = F.concat("sketch", F.substring("sketch", 1, 2 * ROWS))
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.xxhash64(F.substring(places, 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(KEYS)])
     keyed = rows.select("node", "fp", "pivots", "sketch", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots", "sketch")
     # Only keys that two nodes share can link: the others go before the rows with their sketches move.
     shared = keyed.groupBy("choice", "key").count().where("count > 1").select("choice", "key")
-    roots = components(links_within(written(keyed.join(shared, ["choice", "key"], "left_semi"), "keyed"), WIDE, hot))
+    keyed = written(keyed.join(shared, ["choice", "key"], "left_semi"), "keyed")
+    groups = components(links_within(keyed, WIDE, hot))
+    discard(keyed)
+    # components() has a row for each node but the roots. Then the sets decide within each group.
+    groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()).distinct(), "groups")
+    sets = prints.select("node", F.col("doc_id").alias("least"), "shingles").join(groups.join(nodes, "node"), ["node", "least"]).dropDuplicates(["node"])
+    sets = sets.join(table, "fp").select(F.lit(0).cast("long").alias("choice"), F.col("root").alias("key"), "node", "fp", "pivots", "sketch", "shingles")
+    sets = written(sets, "sets")
+    roots = components(links_within(sets, WIDE, hot))
+    discard(sets)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = written(prints.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id"), "near-copies")
+    for table in (prints, nodes, groups, roots):
+        discard(table)
+    return found
 
 
 #: Stands for a null doc_id.
@@ -309,7 +352,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.withColumn("_id", own)
-    found = written(near_copies(rows.select(F.col("_id").alias("doc_id"), "text"), shingle), "near-copies")
+    found = near_copies(rows.select(F.col("_id").alias("doc_id"), "text"), shingle)
     staying = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = rows.join(staying, "_id", "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -338,3 +338,28 @@ def test_word_features_do_not_depend_on_what_is_around():
     assert run.lengths.tolist() == [len(L.words_of(x)) for x in texts]
     assert run.flat.tolist() == [int(L.numbered([w])[0]) for w in words]
     assert list(L.runs([])) == []
+
+
+def test_near_copies_are_decided_by_the_exact_similarity(spark):
+    rng = np.random.default_rng(8)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    own, at = {}, 0
+    for n in (14, 24, 54, 104, 254):
+        # Words changed in the middle: similarities on both sides of 0.8, 50 pairs or so a length.
+        for k in range(60):
+            w = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            other = list(w)
+            for j in rng.choice(n, max(1, round(n * (0.01 + 0.035 * (k % 3) / 2))), replace=False):
+                other[j] = f"c{k}x{j}"
+            if k % 5 == 0:
+                other = [*w, *[f"e{k}x{j}" for j in range(max(1, n // 6 + k % 4 - 2))]]
+            own[at], own[at + 1] = w, other
+            at += 2
+    similar = lambda a, b: len(a & b) / len(a | b)
+    sets = {k: shingles(w) for k, w in own.items()}
+    want = {k: k % 2 == 0 or similar(sets[k - 1], sets[k]) < 0.8 for k in own}
+    assert 60 < sum(not x for x in want.values()) < 240
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in own.items()], "doc_id long, text string")
+    for hot in (simhash.HOT, 3):
+        got = {r.doc_id: r.doc_id == r.component_id for r in simhash.near_copies(docs, hot=hot).collect()}
+        assert [k for k in own if got[k] != want[k]] == []
