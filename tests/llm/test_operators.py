@@ -363,3 +363,23 @@ def test_near_copies_are_decided_by_the_exact_similarity(spark):
     for hot in (simhash.HOT, 3):
         got = {r.doc_id: r.doc_id == r.component_id for r in simhash.near_copies(docs, hot=hot).collect()}
         assert [k for k in own if got[k] != want[k]] == []
+
+
+def test_op9_common_passages_long_texts_and_tiny_tables(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n, of: [f"w{x}" for x in rng.integers(0, of, n)]
+    item = [f"p{k}" for k in range(30)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+
+    def found(texts):
+        return {r.doc_id for r in latent_leaks.leaks(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string"), bench).collect()}
+
+    host = words(80, 3000)
+    copies = [[*host[:40], *item, *host[40:], f"own{k}"] for k in range(20)]
+    hosts = [[*words(40, 3000), *item, *words(40, 3000)] for _ in range(20)]
+    plain = [words(100, 3000) for _ in range(40)]
+    assert found([*copies, *plain[:20]]) == set(range(20)) and found([*hosts, *plain[:20]]) == set(range(20))
+    assert found([*[copies[0]] * 20, *plain, hosts[0]]) == {*range(20), 60}
+    assert found([hosts[0]]) == {0} and found([plain[0], hosts[0]]) == {1} and found([plain[0]]) == set()
+    long = [[f"v{x}" for x in rng.choice(40_000, 12_000, replace=False)] for _ in range(6)]
+    assert found([*long[:5], [*long[5][:5000], *item, *long[5][5000:]]]) == {5}
