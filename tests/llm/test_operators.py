@@ -383,3 +383,18 @@ def test_op9_common_passages_long_texts_and_tiny_tables(spark):
     assert found([hosts[0]]) == {0} and found([plain[0], hosts[0]]) == {1} and found([plain[0]]) == set()
     long = [[f"v{x}" for x in rng.choice(40_000, 12_000, replace=False)] for _ in range(6)]
     assert found([*long[:5], [*long[5][:5000], *item, *long[5][5000:]]]) == {5}
+
+
+def test_op9_finds_short_items_before_their_own_rare_words():
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    rows = [(k, " ".join([f"r{k}", f"s{k}", *words(8)])) for k in range(30)]
+    texts = []
+    for _, item in rows:
+        own = item.split()
+        # The item at the start of a block, and after it its rarest words time and again.
+        texts.append(" ".join([*words(40), *own, *words(10), *[own[j % 2] for j in range(40)], *words(40)]))
+    weights = latent_leaks.idf(np.bincount(np.concatenate([np.unique(latent_leaks.numbered(latent_leaks.words_of(t))) for t in texts]), minlength=latent_leaks.SIZE), len(texts))
+    table = latent_leaks.weighted(latent_leaks.basis_of(latent_leaks.image_of(texts, weights, 64)), weights)
+    got = {(at, item) for at, (item, *_) in latent_leaks.search(texts, latent_leaks.Items(rows, table), table)}
+    assert got >= {(k, k) for k in range(30)}
