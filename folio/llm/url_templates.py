@@ -5,8 +5,10 @@ subdomains, and the longest that fits decides. Pages that a rule decides are the
 labels of the method: a branch of a host's path tree is judged by the share of
 them that is blocked.
 
-Per host, the first DEPTH segments of a path are the tree. A segment with a
-digit, or of more than LONG characters, is variable: "{}". Level by level a
+Per host, the segments of a path are the tree: DEPTH levels at once, then as many
+more as paths share, until a branch ends or holds one shape alone, whose other
+segments are its own. A segment with a digit, or of more than LONG characters,
+is variable: "{}". Level by level a
 branch becomes the wildcard "*" where its parent has many different children
 (MANY at least, more than half as many as pages) or where it is statistically
 like its siblings: its blocked share is within 1.96 standard errors of its
@@ -58,32 +60,56 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape(path: Column) -> Column:
-    """The first DEPTH segments, variable ones as "{}"; null beyond the last."""
-    segments = F.slice(F.split(path, "/", -1), 2, DEPTH)
-    return F.transform(segments, lambda s: F.when(F.rlike(s, F.lit("[0-9]")) | (F.length(s) > LONG), F.lit("{}")).otherwise(s))
+    """All segments, variable ones as "{}"."""
+    segments = F.split(path, "/", -1)
+    return F.transform(F.slice(segments, F.lit(2), F.size(segments)), lambda s: F.when(F.rlike(s, F.lit("[0-9]")) | (F.length(s) > LONG), F.lit("{}")).otherwise(s))
 
 
 def counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
+def level_of(out: DataFrame, above: list[str], own: str, name: str) -> DataFrame:
+    """out with the template's segment beside the own one; `above` is what leads there."""
+    child = counted(out, [*above, own])
+    parent = counted(child, above)
+    kids = child.groupBy(*above).agg(F.count("n").alias("kids"))
+    parent = parent.join(kids, above).select(*above, "kids", F.col("n").alias("pn"), F.col("labelled").alias("pl"), F.col("bad").alias("pb"))
+    p = F.col("pb") / F.greatest("pl", F.lit(1))
+    like = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - p) <= 1.96 * F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1))))
+    many = (F.col("kids") >= MANY) & (F.col("kids") * 2 > F.col("pn"))
+    wild = (F.col(own) != "") & (F.col("kids") > 1) & (many | like)
+    # Its own segment may be empty: a path's end, never a wildcard.
+    branch = child.join(parent, above).select(*above, own, F.when(wild, F.lit("*")).otherwise(F.col(own)).alias(name))
+    return out.join(branch, [*above, own])
+
+
+def segment(level: int) -> Column:
+    """get() of a place beyond the end is null; the empty string stands for it."""
+    return F.coalesce(F.get("shape", F.lit(level - 1)), F.lit(""))
+
+
 def grown(shapes: DataFrame) -> DataFrame:
-    """shapes with t1..t3: the template's segment at each level."""
-    out = shapes
+    """shapes with their template."""
+    out = shapes.withColumns({f"s{k}": segment(k) for k in range(1, DEPTH + 1)})
     for level in range(1, DEPTH + 1):
-        above = ["host", *(f"t{k}" for k in range(1, level))]
-        child = counted(out, [*above, f"s{level}"])
-        parent = counted(child, above)
-        kids = child.groupBy(*above).agg(F.count("n").alias("kids"))
-        parent = parent.join(kids, above).select(*above, "kids", F.col("n").alias("pn"), F.col("labelled").alias("pl"), F.col("bad").alias("pb"))
-        p = F.col("pb") / F.greatest("pl", F.lit(1))
-        like = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - p) <= 1.96 * F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1))))
-        many = (F.col("kids") >= MANY) & (F.col("kids") * 2 > F.col("pn"))
-        wild = (F.col(f"s{level}") != "") & (F.col("kids") > 1) & (many | like)
-        # Its own segment may be empty: a path's end, never a wildcard.
-        branch = child.join(parent, above).select(*above, f"s{level}", F.when(wild, F.lit("*")).otherwise(F.col(f"s{level}")).alias(f"t{level}"))
-        out = out.join(branch, [*above, f"s{level}"])
-    return out
+        out = level_of(out, ["host", *(f"t{k}" for k in range(1, level))], f"s{level}", f"t{level}")
+    columns = [*shapes.columns, "above", "rest"]
+    out = written(out.withColumns({"above": F.concat_ws("/", "host", *(f"t{k}" for k in range(1, DEPTH + 1))), "rest": F.lit("")}).select(columns), "templates")
+    parts, level = [], DEPTH
+    while (out.agg(F.max(F.size("shape"))).first()[0] or 0) > level:
+        level += 1
+        group = ["host", "above", "rest"]
+        out = out.join(out.groupBy(*group).agg(F.count(F.lit(1)).alias("many"), F.max(F.size("shape")).alias("far")), group)
+        own = F.array_join(F.slice("shape", F.lit(level), F.size("shape")), "/")
+        # Branches that go no further, and the only shape of its branch, whose segments have no siblings.
+        parts.append(written(out.where((F.col("far") < level) | (F.col("many") == 1)).withColumn("rest", F.when(F.col("far") < level, F.col("rest")).otherwise(F.concat_ws("/", "rest", own))).select(columns), "templates"))
+        going = out.where((F.col("far") >= level) & (F.col("many") > 1)).withColumn("own", segment(level))
+        out = written(level_of(going, group, "own", "next").withColumn("rest", F.concat_ws("/", "rest", "next")).select(columns), "templates")
+    for part in parts:
+        out = out.union(part)
+    # Ends of paths beyond DEPTH are not written out.
+    return out.withColumn("template", F.concat("above", F.regexp_replace("rest", "/+$", ""))).drop("above", "rest")
 
 
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -91,18 +117,15 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = url.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path")).alias("shape"))
-    # get() of a place beyond the end is null; the empty string stands for it in keys.
-    rows = rows.withColumns({f"s{k + 1}": F.coalesce(F.get("shape", F.lit(k)), F.lit("")) for k in range(DEPTH)}).drop("shape")
-    keys = ["host", *(f"s{k + 1}" for k in range(DEPTH))]
+    keys = ["host", "shape"]
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     own = rows.withColumns({"n": F.lit(1).cast("long"), "labelled": one(F.col("ruled").isNotNull()), "bad": one(F.col("ruled") == "block")})
     tree = written(grown(written(counted(own, keys), "shapes")), "templates")
     every = tree.agg(F.sum("bad"), F.sum("labelled")).first()
     share = ((every[0] or 0) + 1) / ((every[1] or 0) + 2)
-    tops = [f"t{k + 1}" for k in range(DEPTH)]
     host = counted(tree, ["host"]).select("host", ((F.col("bad") + HOST_WEIGHT * share) / (F.col("labelled") + HOST_WEIGHT)).alias("host_share"))
-    template = counted(tree, ["host", *tops]).join(host, "host").select("host", *tops, (1 - (F.col("bad") + TEMPLATE_WEIGHT * F.col("host_share")) / (F.col("labelled") + TEMPLATE_WEIGHT)).alias("purity"))
-    judged = tree.join(template, ["host", *tops]).select(*keys, F.concat_ws("/", "host", *tops).alias("template"), "purity")
+    template = counted(tree, ["host", "template"]).join(host, "host").select("host", "template", (1 - (F.col("bad") + TEMPLATE_WEIGHT * F.col("host_share")) / (F.col("labelled") + TEMPLATE_WEIGHT)).alias("purity"))
+    judged = tree.join(template, ["host", "template"]).select(*keys, "template", "purity")
     by_method = F.when(F.col("purity") < 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(judged, keys).select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), "template", "purity")
 

@@ -398,3 +398,14 @@ def test_op9_finds_short_items_before_their_own_rare_words():
     table = latent_leaks.weighted(latent_leaks.basis_of(latent_leaks.image_of(texts, weights, 64)), weights)
     got = {(at, item) for at, (item, *_) in latent_leaks.search(texts, latent_leaks.Items(rows, table), table)}
     assert got >= {(k, k) for k in range(30)}
+
+
+def test_op7_branches_beyond_the_third_segment(spark):
+    rules = (("h.com", "/a/b/c/bad/x", "block"), ("h.com", "/a/b/c/good/x", "allow"), ("h.com", "/a/b/c/d/e/f/bad/x", "block"), ("h.com", "/a/b/c/d/e/f/good/x", "allow"))
+    paths = [f"/a/b/c/{more}{what}/x{k}" for more in ("", "d/e/f/") for what in ("bad", "good") for k in range(30)]
+    asked = [f"/a/b/c/{more}{what}/z" for more in ("", "d/e/f/") for what in ("bad", "good")] + ["/a/b/c", "/a/b/c/", "/q/" + "r/" * 300]
+    rows = spark.createDataFrame([(k, f"http://h.com{p}") for k, p in enumerate([*asked, *paths])], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.template) for r in url_templates.url_verdicts(rows, rules).collect()}
+    assert len(got) == len(asked) + len(paths)
+    assert [got[k][0] for k in range(4)] == ["block", "allow", "block", "allow"]
+    assert got[0][1] != got[1][1] and got[2][1] != got[3][1] and got[4][1] == got[5][1] == "h.com/*/*/*"
