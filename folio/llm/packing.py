@@ -7,8 +7,10 @@ partial partitions of largest spread are merged, the fullest windows of one
 with the emptiest of the other, until one partition is left. If a window of
 it is over capacity the number of windows rises and the group starts again.
 
-Pieces are grouped by a hash of document and place: a group is a fixed number
-of documents on average, so its work doesn't grow with the input, and a row
+Pieces are grouped by a hash of document and place: a group is GROUP_WINDOWS
+windows' worth of text on average, so its last window is a small part of it
+however short the documents are, but at most GROUP_DOCS documents; its work
+doesn't grow with the input, and a row
 repeated any number of times is dealt out by its place in the scan.
 
 Defined cases: a null or empty text is a document of its end id alone; an empty
@@ -34,8 +36,8 @@ from folio.session import ship_package
 CAPACITY = 1024
 #: Ids in a piece of a document's rest, at most.
 PIECE = 256
-#: Documents in a group, about.
-GROUP_DOCS = 200
+#: Windows' worth of ids in a group, about, at some CHARS a token; and its documents at most, about.
+GROUP_WINDOWS, CHARS, GROUP_DOCS = 160, 4, 20_000
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "full"]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, full boolean"
@@ -141,5 +143,7 @@ def pack_pieces(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFr
 
 
 def op8_differencing_windows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    groups = buckets(docs.count(), GROUP_DOCS)
+    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
+    # Each document has its end id beside its text's.
+    groups = max(buckets((chars or 0) // CHARS + rows, GROUP_WINDOWS * capacity), buckets(rows, GROUP_DOCS))
     return pack_pieces(pieces(docs, tokenizer_path, end_id, capacity), groups, capacity)

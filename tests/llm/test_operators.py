@@ -409,3 +409,9 @@ def test_op7_branches_beyond_the_third_segment(spark):
     assert len(got) == len(asked) + len(paths)
     assert [got[k][0] for k in range(4)] == ["block", "allow", "block", "allow"]
     assert got[0][1] != got[1][1] and got[2][1] != got[3][1] and got[4][1] == got[5][1] == "h.com/*/*/*"
+
+
+def test_op8_short_documents_fill_their_windows(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'one two three four' AS text")
+    got = packing.op8_differencing_windows(docs, PATH).toPandas()
+    assert len(got) == 4000 and got["length"].sum() / 1024 / got["sequence_id"].nunique() > 0.9
