@@ -241,6 +241,16 @@ def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(source, rows.l_orderkey == source.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", F.col("o_orderkey").isNotNull().alias("found"))
 
 
+def found_in(rows: DataFrame, source: DataFrame) -> DataFrame:
+    return rows.join(source, rows.l_orderkey == source.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", F.col("o_orderkey").isNotNull().alias("found"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def whole_registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As registry_left_join, with every order."""
+    return found_in(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 def uncovered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey").join(table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")

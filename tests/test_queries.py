@@ -90,3 +90,10 @@ def test_whole_forms_keep_every_line(spark):
     assert [r.pos for r in own] == list(range(24)) and [r.text for r in own if r.text.isdigit()] == ["4", "12", "20"]
     assert all(line in r.text for line, r in zip(text.split("\n"), [r for r in own if not r.text.isdigit()], strict=True))
     assert [(r.pos, r.text) for r in rows if r.doc_id == 2] == [(0, "## ")]
+
+
+def test_whole_registry_join_reads_every_order(spark, tmp_path):
+    spark.createDataFrame([(k, 1) for k in (1, 2, 3, 6, 9)] + [(None, 1)], "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "F") for k in (1, 3, 6)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.l_orderkey: (r.found, r.o_orderstatus) for r in library.QUERIES["whole_registry_left_join"](spark, str(tmp_path)).collect()}
+    assert got == {k: (True, "F") if k in (1, 3, 6) else (False, None) for k in (1, 2, 3, 6, 9, None)}
