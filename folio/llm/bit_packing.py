@@ -1,7 +1,10 @@
 """Token ids in files of fixed-width bit fields.
 
-An id takes the fewest bits the vocabulary needs. A file holds the documents of
-one range of doc_id, in ascending order:
+Texts are dealt out by ranges of (doc_id, place in the scan), so the rows of one
+doc_id, or those without any, are split like others; each task reads its range
+in order and writes a file for every FILE_IDS ids, encoding as it goes. An id
+takes the fewest bits the vocabulary needs. A file holds documents in ascending
+order:
 
     magic "FWB1", version, width, block size, documents, ids, payload's crc32
     doc_id of each document          (int64)
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.rows import buckets, id_and_text
-from folio.llm.tokens import encoder, slices
+from folio.llm.tokens import encoder
 from folio.session import new_folder, ship_package, written
 
 MAGIC = b"FWB1"
@@ -41,8 +44,11 @@ GROUP = 64
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 BLOCK = 64 * GROUP
-#: Characters of text in one file, about.
-FILE_CHARS = 24_000_000
+#: Characters of text in one task, about, but at most PARTS tasks; and ids from which a file is complete.
+FILE_CHARS, PARTS, FILE_IDS = 24_000_000, 20_000, 3_000_000
+#: Tasks whose files are summed up before the sums are: what a single task sees is one row for so many.
+SUMMED = 4096
+MANIFEST = "part long, nth long, name string, docs long, n_ids long"
 
 
 def width_of(vocabulary: int) -> int:
@@ -134,88 +140,80 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): little-endian unsigned ids of 16 bits where the vocabulary allows, else 32; the end id last."""
+def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, file_chars: int = FILE_CHARS, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files and returns their manifest: task, its n-th file, name, documents, ids.
+
+    A file appears under its name only when complete, so a repeated or
+    speculative task leaves one good copy.
+    """
     ship_package(docs.sparkSession)
-    narrow = width_of(encoder(tokenizer_path).vocabulary) <= 16
-    end = int(end_id).to_bytes(4, "little")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    parts = min(PARTS, buckets(size, file_chars))
+    rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = rows.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path)
+        from pyspark import TaskContext
+
+        own, part, nth = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        width = width_of(own.vocabulary)
+        files, root = _filesystem(folder)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def put() -> pa.RecordBatch:
+            keys, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            name = f"ids-{part:06d}-{nth:06d}.fwb"
+            files.create_dir(root, recursive=True)
+            new = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with files.open_output_stream(new) as out:
+                out.write(build_file(keys, sizes, ids, width))
+            files.move(new, f"{root}/{name}")
+            return pa.RecordBatch.from_pylist([{"part": part, "nth": nth, "name": name, "docs": len(keys), "n_ids": len(ids)}])
+
         for batch in batches:
-            keys, at = batch.column(0), 0
-            for part in slices(batch.column(1).to_pylist()):
-                got = [x + end for x in own.encode(part)]
-                lengths = pa.array([len(x) // 4 for x in got], pa.int64())
-                if narrow:
-                    got = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(got)), lengths, pa.array(got, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                at += len(got)
+            keys = batch.column(0).to_numpy()
+            for at, ids, sizes in own.runs(batch.column(1), end_id):
+                held.append((keys[at : at + len(sizes)], sizes, ids.astype("<u2" if width <= 16 else "<u4")))
+                if sum(len(x) for _, _, x in held) >= file_ids:
+                    yield put()
+                    nth += 1
+        if held:
+            yield put()
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, MANIFEST)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, file_chars: int = FILE_CHARS) -> DataFrame:
-    """Writes the files and returns their manifest: bucket, name, documents, ids.
+def ids_before(manifest: DataFrame) -> DataFrame:
+    """(name, before): the ids of all files that come before each; sums by SUMMED tasks first."""
+    from pyspark.sql import Window
 
-    The ranges of doc_id come from approximate quantiles of doc_id alone; a
-    document is encoded once, where it is read, and its packed ids are what
-    moves. A file appears under its name only when complete, so a repeated or
-    speculative task leaves one good copy.
-    """
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    files = buckets(chars, file_chars)
-    cuts = docs.select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
-    cuts = np.unique(np.array(cuts, dtype=float))
-    rows = encode(docs, tokenizer_path, end_id)
-    # The cuts are numbers of a plan's literal, not a table: as many as files.
-    bucket = F.lit(0)
-    if len(cuts):
-        bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col("doc_id")))
-    width = width_of(encoder(tokenizer_path).vocabulary)
-    kind = "<u2" if width <= 16 else "<u4"
-
-    def write(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.set_column(0, "doc_id", table["doc_id"].fill_null(NO_ID)).sort_by("doc_id")
-        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), kind)
-        data = build_file(table["doc_id"].to_numpy(), table["n_tokens"].to_numpy(), ids, width)
-        name = f"ids-{key[0].as_py():06d}.fwb"
-        files_at, root = _filesystem(folder)
-        files_at.create_dir(root, recursive=True)
-        part = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with files_at.open_output_stream(part) as out:
-            out.write(data)
-        files_at.move(part, f"{root}/{name}")
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "name": [name], "docs": pa.array([table.num_rows], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
-
-    return rows.withColumn("bucket", bucket.cast("long")).groupBy("bucket").applyInArrow(write, "bucket long, name string, docs long, n_ids long")
+    rows = manifest.withColumn("block", F.floor(F.col("part") / SUMMED))
+    blocks = rows.groupBy("block").agg(F.sum("n_ids").alias("ids"))
+    blocks = blocks.select("block", (F.sum("ids").over(Window.orderBy("block")) - F.col("ids")).alias("earlier"))
+    within = F.sum("n_ids").over(Window.partitionBy("block").orderBy("part", "nth")) - F.col("n_ids")
+    return rows.withColumn("within", within).join(blocks, "block").select("name", (F.col("earlier") + F.col("within")).alias("before"))
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    from pyspark.sql import Window
-
-    spark = manifest.sparkSession
-    # One row a file: the running sum is over file counts, not documents.
-    before = manifest.select("name", (F.sum("n_ids").over(Window.orderBy("bucket")) - F.col("n_ids")).alias("before"))
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.fwb").load(folder)
-    found = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(before), "name")
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. manifest: a written table."""
+    tasks = min(PARTS, max(1, manifest.count()))
+    rows = ids_before(manifest).repartition(tasks, "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _filesystem(folder)
         for batch in batches:
-            for content, first in zip(batch.column("content"), batch.column("before").to_pylist(), strict=True):
-                file = PackedFile(content.as_py())
+            for name, first in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                with files.open_input_stream(f"{root}/{name}") as source:
+                    file = PackedFile(source.read())
                 file.check()
-                rows = [(None if doc == NO_ID else doc, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in file.documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = [(None if doc == NO_ID else doc, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in file.documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return found.select("content", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_bit_packed_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    spark = docs.sparkSession
-    if docs.select("doc_id").isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    folder = new_folder(spark, "ids")
+    folder = new_folder(docs.sparkSession, "ids")
     manifest = written(write_files(docs, folder, tokenizer_path, end_id), "ids-manifest")
     return read_files(manifest, folder)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.rows import buckets, id_and_text
-from folio.llm.tokens import encoder, slices
+from folio.llm.tokens import encoder
 from folio.session import ship_package
 
 CAPACITY = 1024
@@ -97,30 +97,32 @@ def pack_group(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         windows += max(1, windows // 256)
 
 
+def cuts(sizes: np.ndarray, capacity: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these sizes, each piece's document, start and length: whole windows, then pieces of the rest."""
+    whole = sizes // capacity
+    many = whole + -(-(sizes % capacity) // piece)
+    doc = np.repeat(np.arange(len(sizes)), many)
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    full = nth < whole[doc]
+    start = np.where(full, nth * capacity, whole[doc] * capacity + (nth - whole[doc]) * piece)
+    return doc, start, np.where(full, capacity, np.minimum(piece, sizes[doc] - start))
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
     """Every document cut: whole windows, then its rest. Ids are encoded where the text is read and go no further."""
     ship_package(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
-
-    def cut(n: int) -> Iterator[tuple[int, int]]:
-        whole = n - n % capacity
-        for at in range(0, whole, capacity):
-            yield at, capacity
-        for at in range(whole, n, piece):
-            yield at, min(piece, n - at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         for batch in batches:
-            keys, places, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-            for part in slices(batch.column(1).to_pylist()):
-                rows = []
-                for ids in own.encode(part):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(keys[at], s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n, places[at], m == capacity) for s, m in cut(n)]
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if name == "full" else pa.int64()) for name, x in zip(NAMES, zip(*rows, strict=True), strict=True)], NAMES)
+            keys, places = batch.column(0), batch.column(2).to_numpy()
+            for at, ids, sizes in own.runs(batch.column(1), end_id):
+                doc, start, length = cuts(sizes, capacity, piece)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                low = 4 * ((np.cumsum(sizes) - sizes)[doc] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
+                columns = [keys.take(pa.array(at + doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(places[at + doc]), pa.array(length == capacity)]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     return id_and_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
 

@@ -22,7 +22,6 @@ severity 0; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +36,7 @@ BITS = 18
 SAMPLE = 4_000
 GRADES = 3
 PREFIXES = (4, 5, 6)
-RUN_CHARS = 2_000_000
+RUN_CHARS = 4_000_000
 #: A feature must stand in so many sampled documents to have a weight.
 LEAST_DOCS = 5
 STEPS, RATE, DECAY = 160, 0.3, 2e-4
@@ -53,7 +52,6 @@ class Model(NamedTuple):
     cut: float = 0.5
 
 
-@lru_cache(maxsize=400_000)
 def word_features(word: bytes) -> tuple[int, ...]:
     import xxhash
 
@@ -62,28 +60,33 @@ def word_features(word: bytes) -> tuple[int, ...]:
     return (xxhash.xxh64_intdigest(b"w" + word, 1) & mask, *(xxhash.xxh64_intdigest(b"p" + text[:k].encode(), 1) & mask for k in PREFIXES if len(text) >= k))
 
 
+def numbered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, the number of every word in their order, and the distinct words by number."""
+    raw = [(x or "").encode("utf-8", "replace") for x in texts]
+    codes = np.frombuffer(b" ".join(raw).translate(_LETTERS), np.uint8)
+    inside = np.concatenate([[False], codes != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    # Without what stands between them the words are one buffer.
+    offsets = np.append(0, np.cumsum(sizes)).astype("<i8")
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside[1:-1]])]).dictionary_encode()
+    return np.diff(np.searchsorted(starts, begins)), words.indices.to_numpy(), words.dictionary.to_pylist()
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text's place, feature, value) triples, sorted."""
-    words = [(x or "").encode("utf-8", "replace").translate(_LETTERS).split() for x in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    vocabulary: dict[bytes, int] = {}
-    number = vocabulary.setdefault
-    flat = np.fromiter((number(w, len(vocabulary)) for own in words for w in own), np.int64, int(sizes.sum()))
-    pairs, counts = np.unique(np.repeat(np.arange(len(words)), sizes) * max(1, len(vocabulary)) + flat, return_counts=True)
-    place, word = np.divmod(pairs, max(1, len(vocabulary)))
+    sizes, flat, vocabulary = numbered_words(texts)
     own = [word_features(w) for w in vocabulary]
     many = np.array([len(x) for x in own], np.int64)
     table = np.fromiter((f for x in own for f in x), np.int64, int(many.sum()))
     first = np.cumsum(many) - many
-    n = many[word] if len(word) else np.empty(0, np.int64)
-    at = np.repeat(first[word] if len(word) else n, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    keys = (np.repeat(place, n) << BITS) | table[at]
-    order = np.argsort(keys)
-    keys, counts = keys[order], np.repeat(counts, n)[order]
+    n = many[flat]
+    at = np.repeat(first[flat], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    keys = np.sort((np.repeat(np.repeat(np.arange(len(texts)), sizes), n) << BITS) | table[at])
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    total = np.add.reduceat(counts, starts) if len(keys) else np.empty(0)
     place, feature = keys[starts] >> BITS, keys[starts] & ((1 << BITS) - 1)
-    return place, feature, np.sqrt(total / sizes[place])
+    return place, feature, np.sqrt(np.diff(np.append(starts, len(keys))) / sizes[place])
 
 
 def probabilities(margin: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
@@ -224,23 +227,18 @@ def op1_ordinal_severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose P(grade > 0) is the cut-off or more; the columns stay. A null doc_id is judged like any other."""
-    spark = docs.sparkSession
+    """docs without those whose P(grade > 0) is the cut-off or more; the columns stay, and only texts go to Python. A null doc_id is judged like any other."""
     model = fit(docs, labels)
-    sent = spark.sparkContext.broadcast(model)
-    where = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            at = 0
-            for part in _runs(batch.column(where).to_pylist()):
-                rows = batch.slice(at, len(part))
-                at += len(part)
-                if own is not None:
-                    place, feature, value = features(part)
-                    margin = np.bincount(place, own.weights[feature] * value, minlength=len(part))
-                    rows = rows.filter(pa.array(probabilities(margin, own.thresholds)[:, 0] < own.cut))
-                yield rows
-
-    return docs.mapInArrow(run, docs.schema)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(text: pa.Array) -> pa.Array:
+        own, out = sent.value, []
+        for part in _runs(text.to_pylist()):
+            place, feature, value = features(part)
+            margin = np.bincount(place, own.weights[feature] * value, minlength=len(part))
+            out.append(probabilities(margin, own.thresholds)[:, 0] < own.cut)
+        return pa.array(np.concatenate(out) if out else np.empty(0, bool))
+
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col("text")))
