@@ -16,6 +16,7 @@ recently, half of it.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,7 +234,8 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One for each file and worker process."""
+    """One for each file and worker process, which has a core of its own: the library starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
