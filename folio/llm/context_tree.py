@@ -180,11 +180,12 @@ def _leaf(level: Level, asked: np.ndarray) -> np.ndarray:
 # ---- counting ----
 
 
-def runs_of(texts: list, most: int = RUN_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(first place, UTF-8 texts) of about so many bytes."""
+def runs_of(texts: list, fold: bool = False, most: int = RUN_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first place, UTF-8 texts) of about so many bytes; with `fold`, A-Z lower-cased."""
     first, held, size = 0, [], 0
     for at, text in enumerate(texts):
-        held.append((text or "").encode("utf-8", "replace"))
+        own = (text or "").encode("utf-8", "replace")
+        held.append(own.translate(LOWER_BYTES) if fold else own)
         size += len(held[-1])
         if size >= most:
             yield first, held
@@ -297,13 +298,13 @@ class Tally:
 PART = "kind int, shard long, keys binary, counts binary"
 
 
-def tallies(docs: DataFrame, depth: int, shards: int) -> DataFrame:
+def tallies(docs: DataFrame, depth: int, shards: int, fold: bool = False) -> DataFrame:
     """What each scan task counts, sharded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(depth)
         for batch in batches:
-            for _, texts in runs_of(batch.column(0).to_pylist()):
+            for _, texts in runs_of(batch.column(0).to_pylist(), fold):
                 tally.add(texts)
         for kind, shard, keys, counts in tally.rows(shards):
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard]), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], ["kind", "shard", "keys", "counts"])
@@ -334,9 +335,9 @@ def merged(parts: DataFrame, depth: int) -> DataFrame:
 class Model:
     """The written shards, the two upper levels, and the base's totals."""
 
-    def __init__(self, docs: DataFrame, depth: int, shards: int):
-        self.depth, self.shards = depth, shards
-        self.table = written(merged(tallies(docs, depth, shards), depth), "context-tree")
+    def __init__(self, docs: DataFrame, depth: int, shards: int, fold: bool = False):
+        self.depth, self.shards, self.fold = depth, shards, fold
+        self.table = written(merged(tallies(docs, depth, shards, fold), depth), "context-tree")
         words = self.table.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
         self.words, self.vocabulary = int(words[0]), int(words[1])
         self.top = self._top()
@@ -388,10 +389,10 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
     return asked.groupBy("kind", "shard").cogroup(model.table.select("kind", "shard", "keys", "counts").groupBy("kind", "shard")).applyInArrow(run, "chunk long, kind int, keys binary, values binary")
 
 
-def questions(chunked: DataFrame, depth: int, shards: int) -> DataFrame:
+def questions(chunked: DataFrame, depth: int, shards: int, fold: bool = False) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tally = Tally(depth)
-        for _, texts in runs_of(table["text"].to_pylist()):
+        for _, texts in runs_of(table["text"].to_pylist(), fold):
             tally.add(texts)
         # A chunk has a text at least, and each text an end: there is always a gram.
         rows = [(key[0].as_py(), kind, shard, keys) for kind, shard, keys, _ in tally.rows(shards)]
@@ -433,7 +434,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def scored(chunked: DataFrame, found: DataFrame, model: Model) -> DataFrame:
-    depth, total, vocabulary, ends = model.depth, model.words, model.vocabulary, model.ends
+    depth, total, vocabulary, ends, fold = model.depth, model.words, model.vocabulary, model.ends, model.fold
 
     def run(key: tuple, docs: pa.Table, rows: pa.Table) -> pa.Table:
         import xxhash
@@ -449,7 +450,7 @@ def scored(chunked: DataFrame, found: DataFrame, model: Model) -> DataFrame:
         floor = math.log10(total + ALPHA * (vocabulary + 1))
         end = math.log10(ends + ALPHA) - floor
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        for _, texts in runs_of(docs["text"].to_pylist()):
+        for _, texts in runs_of(docs["text"].to_pylist(), fold):
             values = grams.get(gram_array(texts, depth)).astype(float)
             lengths = np.array([len(x) + 1 for x in texts])
             natural = np.add.reduceat(values, np.cumsum(lengths) - lengths)
@@ -476,23 +477,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Trains on the rows that are not held out and scores every row."""
+def score_documents(docs: DataFrame, depth: int = DEPTH, fold: bool = False) -> DataFrame:
+    """Trains on the rows that are not held out and scores every row; with `fold`, on texts whose A-Z are lower-cased, which the base's words always are."""
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7: a gram of depth + 1 bytes fits a long")
     ship_package(docs.sparkSession)
     rows = id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id")))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     parts = buckets(size[0], CHUNK_BYTES)
-    model = Model(rows.where(~F.col("held_out")), depth, parts)
+    model = Model(rows.where(~F.col("held_out")), depth, parts, fold)
     # Each training text's end is a token like a word, counted apart.
     model.ends = int(size[1])
     model.vocabulary += int(size[1] > 0)
     model.words += int(size[1])
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    found = answers(questions(chunked, depth, parts), model)
+    found = answers(questions(chunked, depth, parts, fold), model)
     return scored(chunked, found, model).withColumn("train_tokens", F.lit(model.words).cast("long"))
 
 
 def op2_context_tree(docs: DataFrame) -> DataFrame:
-    return score_documents(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    """Model and base score the same text: the one whose A-Z are lower-cased."""
+    return score_documents(docs, fold=True).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

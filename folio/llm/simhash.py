@@ -350,11 +350,10 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Of rows that share the doc_id that stays, one stays. A null doc_id counts as smaller than any.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.withColumn("_id", own)
-    found = near_copies(rows.select(F.col("_id").alias("doc_id"), "text"), shingle)
-    staying = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = rows.join(staying, "_id", "left_semi")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = near_copies(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), shingle)
+    staying = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    kept = rows.join(staying, "id", "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_id"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id"])
+    return kept.select("row.*")

@@ -415,3 +415,135 @@ def test_op8_short_documents_fill_their_windows(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'one two three four' AS text")
     got = packing.op8_differencing_windows(docs, PATH).toPandas()
     assert len(got) == 4000 and got["length"].sum() / 1024 / got["sequence_id"].nunique() > 0.9
+
+
+def test_op10_keywords_are_in_every_match_of_their_rules():
+    import re as _re
+    import warnings
+
+    from hypothesis import strategies as st
+    from hypothesis.errors import NonInteractiveExampleWarning
+
+    warnings.simplefilter("ignore", NonInteractiveExampleWarning)
+    letters = st.characters(codec="ascii", categories=["Ll", "Nd", "Zs"])
+    for rule in license_rules.rules():
+        body = rule.pattern.pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        found = st.from_regex(_re.compile(body, _re.A), fullmatch=True, alphabet=letters).example()
+        assert rule.keyword in found and any(x.decode() in found for x in license_rules.STEMS), (rule.label, rule.keyword, found)
+    assert len({r.keyword for r in license_rules.rules()}) > 300
+
+
+def test_op10_labels_are_those_of_a_plain_scan():
+    """Every rule tried on every text, and each detection held against all that were taken before it."""
+    pieces = ["Licensed under the Apache License, Version 2.0.", "the MIT License", "GNU General Public License v3", "All rights reserved.", "Copyright (c) 2019-2021 A", "released under the MIT license", "CC BY-SA 4.0", "font", "without warranty of any kind", "SPDX-License-Identifier: BSD 3 clause", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "word", "3-clause BSD license", "creative commons attribution"]
+    rng = np.random.default_rng(3)
+    for n in range(60):
+        text = " ".join(pieces[k] for k in rng.integers(0, len(pieces), 1 + n % 9))
+        words = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)))
+        found = sorted((r.priority, m.start() - m.end(), m.start(), at, m.end(), r) for at, r in enumerate(license_rules.rules()) for m in r.pattern.finditer(words))
+        taken = []
+        for _, _, a, _, b, r in found:
+            if not any(x <= a and b <= y for x, y, _ in taken):
+                taken.append((a, b, r))
+        got = license_rules.scan(text)
+        base = {label for phrase, label in license_rules.BASE if f" {phrase} " in f" {words} "}
+        assert got["labels"] == ",".join(sorted(base | {r.label for _, _, r in taken}))
+        assert got["spans"] == [(words.count(" ", 0, a), words.count(" ", 0, b) + 1, r.label) for a, b, r in taken]
+        assert got["score"] == max([0.7 if base else 0.0, *(r.score for *_, r in taken)])
+    assert license_rules.scan("You can redistribute it and/or modify it under the terms of the GNU General Public License")["score"] == 1.0
+
+
+def test_op6_hot_lines_and_clashing_columns(spark):
+    rows = [(k, f"{LINE}\nown {k} line that is long enough\n{LINE if k % 2 else ''}", 99, "x", k) for k in range(40)] + [(None, LINE, 99, "y", 0), (7, LINE, 99, "z", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, row string, doc int")
+    keyed = line_dedup.keyed_lines(docs.selectExpr("coalesce(doc_id, -9223372036854775808) AS doc", "text", "xxhash64(text) AS digest"), 20)
+    from folio.session import written
+
+    lines = written(keyed, "test-lines")
+    pick = lambda n: sorted((r.doc, r.digest, r.dropped) for r in line_dedup.dropped_places(lines, 3, n).collect())
+    assert pick(5) == pick(10**6) and len(pick(5)) == 41
+    out = line_dedup.drop_lines(docs, counts=False)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == 42 and all(r.n_lines == 99 for r in got) and sorted(r.row for r in got if r.text == "") == ["y", "z"]
+    assert [r.text for r in got if r.doc_id == 39] == [rows[39][1]]
+
+
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(30)), "a", "b", "c"), (2, " ".join(f"w{k}" for k in range(30)), "d", "e", "f"), (None, "other words", "g", "h", "i"), (3, None, "j", "k", "l"), (3, None, "m", "n", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, id string, row string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    found = sorted(tuple(r)[2:] for r in got.collect())
+    assert found[:2] == [("a", "b", "c"), ("g", "h", "i")] and len(found) == 3
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from folio import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, _jsc=java))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+
+
+def test_op4_a_hot_id_is_split_over_tasks(spark):
+    from folio.session import new_folder, written
+
+    rows = spark.createDataFrame([(7, f"text number {k}") for k in range(400)] + [(3, "first")], "doc_id long, text string").repartition(4)
+    folder = new_folder(spark, "test-hot")
+    manifest = written(bit_packing.write_files(rows, folder, PATH, 2, file_chars=600, file_ids=40), "m")
+    assert manifest.select("part").distinct().count() > 4 and manifest.agg({"docs": "max"}).first()[0] < 100
+    got = bit_packing.read_files(manifest, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [3] + [7] * 400 and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
+def test_op2_folds_case(spark):
+    rows = spark.createDataFrame([(k, "Some Words Of Text") for k in range(20)] + [(21, "some words of text")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in context_tree.op2_context_tree(rows).collect()}
+    assert len({round(x, 9) for x in got.values()}) == 1
+
+
+def test_op9_candidates_by_cosine_or_by_a_shared_run():
+    """Words that weigh little among rare ones: the cosine is small, a run of the item's words brings it."""
+    rng = np.random.default_rng(2)
+    common = [f"c{k}" for k in range(12)]
+    item = [common[k] for k in rng.integers(0, 12, 10)]
+    texts = [" ".join([*(f"r{at}x{k}" for k in range(40)), *(item if at < 5 else rng.permutation(common)[:10]), *(f"s{at}x{k}" for k in range(40))]) for at in range(60)]
+    weights = latent_leaks.idf(np.bincount(np.concatenate([np.unique(latent_leaks.numbered(latent_leaks.words_of(t))) for t in texts]), minlength=latent_leaks.SIZE), len(texts))
+    table = latent_leaks.weighted(latent_leaks.basis_of(latent_leaks.image_of(texts, weights, 64)), weights)
+    found = list(latent_leaks.search(texts, latent_leaks.Items([(0, " ".join(item))], table), table))
+    assert {at for at, _ in found} >= set(range(5))
+
+
+def paraphrased(rng, words, share):
+    """A fifth of the words or so replaced, dropped or doubled, the answer left alone but for one."""
+    out = list(words)
+    for at in sorted(rng.choice(len(words), max(1, round(share * len(words))), replace=False), reverse=True):
+        if (kind := rng.integers(0, 3)) == 0:
+            out[at] = f"new{rng.integers(0, 10**6)}"
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, out[at])
+    return out
+
+
+def test_op9_recall_of_paraphrases():
+    """All places that the plain rule calls leaks, found through the candidates."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 3000]
+    rows = [(k, " ".join(words(int(rng.integers(8, 60))))) for k in range(80)]
+    texts = []
+    for k in range(240):
+        own = latent_leaks.words_of(rows[k % 80][1])
+        texts.append(" ".join(str(x) for x in [*words(50), *[w.decode() if isinstance(w, bytes) else w for w in paraphrased(rng, own, 0.05 + 0.15 * (k % 3) / 2)], *words(50)]))
+    weights = latent_leaks.idf(np.bincount(np.concatenate([np.unique(latent_leaks.numbered(latent_leaks.words_of(t))) for t in texts]), minlength=latent_leaks.SIZE), len(texts))
+    table = latent_leaks.weighted(latent_leaks.basis_of(latent_leaks.image_of(texts, weights, 64)), weights)
+    items = latent_leaks.Items(rows, table)
+    got = {(at, item) for at, (item, *_) in latent_leaks.search(texts, items, table)}
+    want = {(at, k % 80) for at in range(240) for k in [at] if items.verify(at % 80, latent_leaks.words_of(texts[at]), 0, 10**6)}
+    assert len(want) > 150 and len(want & got) >= 0.99 * len(want)
