@@ -27,12 +27,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset and a single process does all work."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="folio-shared-")).as_uri()
         sc.setCheckpointDir(named)
     return named.rstrip("/")
