@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
+#: Bytes of rows that go to a Python worker at once, about: rows may be whole books.
+BATCH_BYTES = 16 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Lets the Python workers import this package: nothing to do where PYTHONPATH has it."""
+    """Lets the Python workers import this package, where PYTHONPATH hasn't it, and bounds the bytes of their batches."""
     sc = spark.sparkContext
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if limit.isdigit() and int(limit) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_folio_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="folio-")) / "folio_package.zip"
