@@ -24,9 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text encoded at once.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bytes of a worker's cache, about.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 #: Longer pieces are encoded whenever they are met.
 LONGEST_CACHED = 64
 
