@@ -20,11 +20,11 @@ def repeated_lines(rows: DataFrame, least: int = 3) -> DataFrame:
     return found.where(F.col("n") >= least).withColumn("mean_gap", F.round((F.col("last_pos") - F.col("first_pos")) / (F.col("n") - 1), 4))
 
 
-def document_report(rows: DataFrame) -> DataFrame:
+def document_report(paragraphs: DataFrame) -> DataFrame:
     t = F.col("text")
-    role = tx.paragraph_role(t)
+    role = F.col("role")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    out = rows.groupBy("doc_id").agg(F.count("pos").alias("n_rows"), one(role == "heading").alias("headings"), one(role == "list").alias("lists"), one(tx.is_page_number(t)).alias("page_numbers"), F.sum(F.length(t)).cast("long").alias("chars"), F.max(F.length(t)).alias("longest"))
+    out = paragraphs.groupBy("doc_id").agg(F.count("pos").alias("n_rows"), one(role == "heading").alias("headings"), one(role == "list").alias("lists"), one(tx.is_page_number(t)).alias("page_numbers"), F.sum(F.length(t)).cast("long").alias("chars"), F.max(F.length(t)).alias("longest"))
     return out.withColumn("heading_share", ratio(F.col("headings"), F.col("n_rows")))
 
 
@@ -65,3 +65,48 @@ def z_scores(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def jaccard(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def retained_groups(files: DataFrame, owner: str, group: str, age: str, most: int, oldest: float) -> DataFrame:
+    """As retained(), by groups that stay or go whole: a group is as old as its oldest member."""
+    groups = files.groupBy(owner, group).agg(F.max(age).alias("age"), F.count(F.lit(1)).alias("members"))
+    order = Window.partitionBy(owner).orderBy("age", F.col(group).desc())
+    return groups.where(F.col("age") <= oldest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("age")
+
+
+def retained_protecting(files: DataFrame, protected: DataFrame, group: str, age: str, name: str, most: int, oldest: float) -> DataFrame:
+    """The protected files and, of the others, those that retained() keeps. protected: (group, name)."""
+    others = files.join(protected, [group, name], "left_anti")
+    return protected.select(group, name).unionByName(retained(others, group, age, name, most, oldest).select(group, name))
+
+
+def usage_ledger(calls: DataFrame, run: str, stage: str) -> DataFrame:
+    """Calls, tokens and cost of each stage of each run, and of each run (stage null).
+
+    calls: prompt, completion, total, cost, each null where unreported; a total that is missing is the sum of
+    the others, and a call with no token count at all is unreported, whatever it cost.
+    """
+    c = F.col
+    reported = c("prompt").isNotNull() | c("completion").isNotNull() | c("total").isNotNull()
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    rows = calls.select(run, stage, zero("prompt").alias("p"), zero("completion").alias("c"), F.coalesce("total", zero("prompt") + zero("completion")).alias("t"), zero(F.when(c("cost") >= 0, c("cost"))).alias("usd"), reported.alias("reported"))
+    missing = F.sum(F.when(c("reported"), 0).otherwise(1))
+    out = rows.groupingSets([[c(run), c(stage)], [c(run)]], c(run), c(stage))
+    return out.agg(F.count(F.lit(1)).alias("calls"), F.sum("p").alias("prompt_tokens"), F.sum("c").alias("completion_tokens"), F.sum(F.when(c("reported"), c("t")).otherwise(0)).alias("total_tokens"), F.round(F.sum("usd"), 4).alias("cost"), missing.alias("unreported"), (missing == 0).alias("complete"))
+
+
+def placeholder_integrity(expected: DataFrame, rows: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, id, status): ok, lost or duplicated for each expected placeholder, unexpected for others. expected: (doc_id, id)."""
+    have = rows.select("doc_id", F.explode(tx.found(F.col("text"), pattern)).alias("id")).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    met = expected.withColumn("wanted", F.lit(True)).join(have, ["doc_id", "id"], "full")
+    return met.select("doc_id", "id", F.when(F.col("wanted").isNull(), "unexpected").when(F.col("n").isNull(), "lost").when(F.col("n") == 1, "ok").otherwise("duplicated").alias("status"))
+
+
+def pairwise(judged: DataFrame) -> DataFrame:
+    """(candidate, comparisons, credit, decisive_wins, win_rate) from (left, right, winner, margin); a tie is half a win for both."""
+    c = F.col
+    sides = F.explode(F.array("left", "right")).alias("candidate")
+    rows = judged.select(sides, "winner", "margin")
+    credit = F.when(c("winner") == "tie", 0.5).when(c("winner") == c("candidate"), 1.0).otherwise(0.0)
+    out = rows.groupBy("candidate").agg(F.count("winner").alias("comparisons"), F.sum(credit).alias("credit"), F.sum(F.when((c("winner") == c("candidate")) & (c("margin") == "decisive"), 1).otherwise(0)).alias("decisive_wins"))
+    return out.withColumn("win_rate", F.round(c("credit") / c("comparisons"), 4))

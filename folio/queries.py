@@ -3,214 +3,195 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio import queries_edits, queries_more, queries_structure  # noqa: F401
+from folio.functions import layout
 from folio.functions import text as tx
 from folio.operators import sequences as sq
 from folio.operators import summaries as sm
-from folio.sources.tables import blocks, marked, paragraphs, table, whole_marked
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-LINES = """
-p AS (SELECT doc_id, (i - 1)::INTEGER AS pos, lines[i] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))"""
-MARKED = (
-    LINES
-    + """,
-m AS (SELECT doc_id, pos, CASE pos % 8 WHEN 0 THEN '## ' || substr(text, 1, 40) WHEN 1 THEN '- ' || substr(text, 1, 60) WHEN 2 THEN '12. ' || substr(text, 1, 60)
-      WHEN 3 THEN substr(text, 1, 30) || ' ..... ' || (pos + 5) WHEN 4 THEN pos::VARCHAR ELSE text END AS text FROM p)"""
-)
-# The forms around whole lines: what the `whole_` queries read.
-WHOLE = (
-    LINES
-    + """,
-m AS (SELECT doc_id, (pos + (pos + 3) // 8)::INTEGER AS pos, CASE pos % 8 WHEN 0 THEN '## ' || text WHEN 1 THEN '- ' || text WHEN 2 THEN '12. ' || text WHEN 3 THEN text || ' ..... ' || (pos + 5) ELSE text END AS text FROM p
-      UNION ALL SELECT doc_id, (pos + (pos + 3) // 8 + 1)::INTEGER, pos::VARCHAR FROM p WHERE pos % 8 = 4)"""
-)
-# The text functions again, in the other dialect.
-SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
-WORDS = f"list_filter(string_split({SQUEEZE}, ' '), lambda w: w <> '')"
-LAYOUT = r"lower(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '“”‘’–—', chr(34) || chr(34) || chr(39) || chr(39) || '--'), '[.,;:!?\"' || chr(39) || '()\[\]*_`~]', '', 'g'), '\s+', ' ', 'g')))"
-TERMINAL = r"regexp_matches(rtrim({0}), '[.!?…][\"' || chr(39) || ')\]»”]*$')"
-INCOMPLETE = r"regexp_matches(rtrim({0}), '[A-Za-z0-9,;:\-(\[]$')"
-CONTINUES = r"regexp_matches(ltrim({0}), '^[a-z0-9]')"
-TOC = r"regexp_matches({0}, '(?:\.{{2,}}|…+|\s{{2,}})\s*\d+\s*$')"
-PAGE = r"(length(trim({0})) <= 20 AND (regexp_matches(lower(trim({0})), '^-?\s*\d{{1,4}}\s*-?$') OR regexp_matches(lower(trim({0})), '^(?:page|p\.)\s*\d{{1,4}}(?:\s+of\s+\d{{1,4}})?$')))"
-LIST = r"CASE WHEN regexp_matches({0}, '^\s*[-*+•]\s+') THEN 'unordered' WHEN regexp_matches({0}, '^\s*\d+[.)]\s+') THEN 'ordered' END"
-LEVEL = r"nullif(length(regexp_extract({0}, '^(#{{1,6}})\s+\S', 1)), 0)"
-ROLE = (
-    r"CASE WHEN regexp_matches({0}, '^\s*\[\[DOCX_IMAGE_[A-Za-z0-9_]+\]\]\s*$') THEN 'image' WHEN "
-    + LEVEL
-    + r" IS NOT NULL THEN 'heading' WHEN length({0}) <= 140 AND regexp_matches({0}, '^(?:Figure|Fig\.|Table|Рис\.|Таблица)\s*\d*') THEN 'caption' WHEN ("
-    + LIST
-    + r") IS NOT NULL THEN 'list' ELSE 'body' END"
-)
-KIND = (
-    r"CASE WHEN trim({0}) = '' THEN 'empty' WHEN " + LEVEL + r" IS NOT NULL THEN 'heading' WHEN " + PAGE + r" THEN 'page_number' WHEN regexp_matches(lower({0}), 'this page (?:is )?intentionally left blank') THEN 'blank_page' WHEN "
-    + TOC + r" THEN 'toc_like' WHEN regexp_matches({0}, '^\s*>') THEN 'blockquote' WHEN (" + LIST + r") IS NOT NULL THEN 'list' ELSE 'paragraph' END"
-)
-
-
-def query(oracle: str | None):
-    """Registers a query; one that reads the cut lines of MARKED also as whole_..., which reads whole lines."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-            if MARKED in oracle:
-                QUERIES[f"whole_{f.__name__}"] = partial(f, forms=whole_forms_of)
-                ORACLES[f"whole_{f.__name__}"] = oracle.replace(MARKED, WHOLE)
-        return f
-
-    return add
-
-
-def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(table(spark, sf_dir, "documents"))
-
-
-def forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(lines_of(spark, sf_dir))
-
-
-def whole_forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_marked(lines_of(spark, sf_dir))
-
-
-def over_forms(name: str, make: Callable, sql: str) -> None:
-    """One text function over every line, as a column `value`."""
-
-    def run(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-        return forms(spark, sf_dir).select("doc_id", "pos", make(F.col("text")).alias("value"))
+from folio.registry import FORMS, LINES, ORACLES, PARAS, QUERIES, T, c, forms_of, lines_of, paras_of, query
+from folio.sources.tables import table
 
-    run.__name__ = name
-    query(f"WITH {MARKED} SELECT doc_id, pos, {sql} AS value FROM m")(run)
-
-
-T = "text"
-over_forms("text_squeeze", tx.squeeze, SQUEEZE.format(T))
-over_forms("text_strip_list_prefix", tx.strip_list_prefix, r"regexp_replace(text, '^(\s*(?:[-*+•]\s+|\d+[.)]\s+))+', '')")
-over_forms("text_outline_key", tx.outline_key, r"lower(trim(trim(regexp_replace(regexp_replace(text, '\s*(?:\.{2,}|…+)\s*\d+\s*$', ''), '\s+', ' ', 'g')), '. '))")
-over_forms("text_layout_key", tx.layout_key, LAYOUT)
-over_forms("text_running_header", tx.running_header, f"CASE WHEN length({SQUEEZE.format(T)}) <= 40 AND len({WORDS.format(T)}) <= 5 AND regexp_matches(text, '[A-Za-z]') THEN lower({SQUEEZE.format(T)}) END")
-over_forms("text_preview", tx.preview, f"CASE WHEN length({SQUEEZE.format(T)}) <= 60 THEN {SQUEEZE.format(T)} ELSE rtrim(substr({SQUEEZE.format(T)}, 1, 59)) || '…' END")
-over_forms("text_halve_repeated", lambda c: tx.halve_repeated(F.concat(F.substring(c, 1, 20), F.lit(" "), F.substring(c, 1, 20))), f"""(SELECT CASE WHEN len(w) >= 4 AND len(w) % 2 = 0 AND w[1:len(w)//2] = w[len(w)//2+1:] THEN array_to_string(w[1:len(w)//2], ' ') ELSE array_to_string(w, ' ') END
-    FROM (SELECT {WORDS.format("substr(text, 1, 20) || ' ' || substr(text, 1, 20)")} AS w))""")
-over_forms("text_identity", tx.identity_component, r"substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80)")
-#: The cut to 20 characters is in the SQL of text_halve_repeated; this one repeats the whole line.
-QUERIES["whole_text_halve_repeated"] = lambda spark, sf_dir: whole_forms_of(spark, sf_dir).select("doc_id", "pos", tx.halve_repeated(F.concat("text", F.lit(" "), "text")).alias("value"))
-ORACLES["whole_text_halve_repeated"] = ORACLES["whole_text_halve_repeated"].replace("substr(text, 1, 20)", "text")
-over_forms("is_terminal", tx.ends_terminal, TERMINAL.format(T))
-over_forms("is_incomplete", tx.ends_incomplete, INCOMPLETE.format(T))
-over_forms("is_continuation", tx.starts_continuation, CONTINUES.format(T))
-over_forms("is_toc_entry", tx.is_toc_entry, TOC.format(T))
-over_forms("is_page_number", tx.is_page_number, PAGE.format(T))
-over_forms("index_density", tx.index_density, r"CASE WHEN len({0}) = 0 THEN 0 ELSE round(len(list_filter({0}, lambda x: regexp_matches(x, '^\d{{1,4}}[,.;]?$')))::DOUBLE / len({0}), 4) END".format(WORDS.format(T)))
-over_forms("list_kind", tx.list_kind, LIST.format(T))
-over_forms("heading_level", tx.heading_level, LEVEL.format(T))
-over_forms("paragraph_role", tx.paragraph_role, ROLE.format(T))
-over_forms("block_kind", tx.block_kind, KIND.format(T))
-over_forms("token_count", lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long"), "greatest(1, length(text) // 4)")
-
-
-@query(f"WITH {LINES} SELECT doc_id, pos, length(regexp_replace(substr(text, 1, 2000), '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) AS latin, length(regexp_replace(substr(text, 1, 2000), '[^Ѐ-ӿ]', '', 'g')) AS cyrillic FROM p")
-def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latin, cyrillic = tx.script_counts(F.col("text"))
-    return lines_of(spark, sf_dir).select("doc_id", "pos", latin.alias("latin"), cyrillic.alias("cyrillic"))
+__all__ = ["ORACLES", "QUERIES"]
 
+SQUEEZE = str(tx.squeeze(T))
+WORDS = r"list_filter(string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
-@query(f"WITH {MARKED} SELECT doc_id, pos, 'b_' || lpad((pos + 1)::VARCHAR, 6, '0') AS block_id, substr(sha256(text), 1, 16) AS text_hash, length(text) AS char_count, length(regexp_replace(text, '\\s', '', 'g')) AS solid_count, {KIND.format(T)} AS kind FROM m")
-def cleanup_blocks(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return blocks(forms(spark, sf_dir))
 
+def over_forms(name: str, make: Callable) -> None:
+    """One text function over every row of the forms, as a column `value`."""
 
-PAIRS = f"""{MARKED}, n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS nt FROM m),
-f AS (SELECT doc_id, pos, ({ROLE.format("text")}) <> 'body' OR ({ROLE.format("nt")}) <> 'body' OR {TOC.format("nt")} OR ({TERMINAL.format("text")} AND regexp_matches(nt, '^[A-Z]')) AS blocked,
-      NOT {TERMINAL.format("text")} AS o, {CONTINUES.format("nt")} AS c, {INCOMPLETE.format("text")} AS i FROM n WHERE nt IS NOT NULL),
-d AS (SELECT doc_id, pos, CASE WHEN blocked THEN 'keep' WHEN (o AND c) OR o::INT + c::INT + i::INT + (i AND c)::INT >= 2 THEN 'merge' ELSE 'keep' END AS decision,
-      CASE WHEN blocked THEN 'blocked' WHEN o AND c THEN 'high' ELSE 'medium' END AS confidence FROM f)"""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return forms_of(spark, sf_dir).select("doc_id", "pos", make(F.col("text")).alias("value"))
+
+    run.__name__ = name
+    query(f"WITH {FORMS} SELECT doc_id, pos, {make(T)} AS value FROM m")(run)
 
 
-@query(f"WITH {PAIRS} SELECT * FROM d")
-def boundary_decisions(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.boundary_decisions(forms(spark, sf_dir))
+def over_paras(name: str, make: Callable, *columns: str) -> None:
+    """One rule over rows of the paragraph table."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return paras_of(spark, sf_dir).select("doc_id", "pos", make(*[F.col(x) for x in columns]).alias("value"))
 
-@query(f"WITH {PAIRS} SELECT decision, confidence, count(*) AS n FROM d GROUP BY decision, confidence")
-def decision_counts(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.boundary_decisions(forms(spark, sf_dir)).groupBy("decision", "confidence").agg(F.count("pos").alias("n"))
+    run.__name__ = name
+    query(f"WITH {PARAS} SELECT doc_id, pos, {make(*[c(x) for x in columns])} AS value FROM para")(run)
 
 
-@query(f"""WITH {PAIRS}, j AS (SELECT m.*, sum(CASE WHEN d.pos IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY m.doc_id ORDER BY m.pos) AS chain
-    FROM m LEFT JOIN d ON d.doc_id = m.doc_id AND d.pos + 1 = m.pos AND d.decision = 'merge' AND d.confidence = 'high')
-    SELECT doc_id, min(pos) AS first_pos, count(*) AS n_rows, {SQUEEZE.format("string_agg(text, ' ' ORDER BY pos)")} AS text FROM j GROUP BY doc_id, chain""")
-def merge_chains(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.merge_chains(forms(spark, sf_dir))
+def over_pairs(name: str, make: Callable) -> None:
+    """One rule over each row of the forms and the row before it."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = forms_of(spark, sf_dir).withColumn("before", F.lag("text").over(sq.by_place())).where("before IS NOT NULL")
+        return before.select("doc_id", "pos", make(F.col("before"), F.col("text")).alias("value"))
 
-RUNS = "k AS (SELECT doc_id, pos, {0} AS key FROM {1}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS g FROM k)"
+    run.__name__ = name
+    query(f"WITH {FORMS}, w AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m) SELECT doc_id, pos, {make(c('before'), T)} AS value FROM w WHERE before IS NOT NULL")(run)
+
+
+# ---- normal forms ----
+for _name, _make in {
+    "text_squeeze": tx.squeeze, "text_strip_list_prefix": tx.strip_list_prefix, "text_outline_key": tx.outline_key, "text_layout_key": tx.layout_key, "text_mapping_key": tx.mapping_key, "text_heading_key": tx.heading_key,
+    "text_heading_match_key": tx.heading_match_key, "text_toc_key": tx.toc_key, "text_heading_plain": tx.heading_plain, "text_running_header": tx.running_header, "text_preview": tx.preview, "text_halve_repeated": tx.halve_repeated,
+    "text_homoglyphs": tx.homoglyphs, "text_blank_page_split": tx.blank_page_split, "text_without_images": tx.without_images, "text_visible": tx.visible_text, "text_identity": tx.identity_component, "text_unwrapped": tx.unwrapped,
+    "text_structural": tx.structural_text, "text_token_key": lambda x: tx.joined(tx.tokens(x), " "),
+    # ---- sentence edges ----
+    "is_terminal": tx.ends_terminal, "is_incomplete": tx.ends_incomplete, "is_continuation": tx.starts_continuation, "is_sentence_start": tx.starts_sentence, "is_toc_entry": tx.is_toc_entry, "is_toc_heading": tx.is_toc_heading,
+    "is_attribution": tx.is_attribution, "is_caption": tx.is_caption, "has_heading_signal": tx.heading_signal, "is_page_number": tx.is_page_number, "is_blank_notice": tx.is_blank_notice, "is_extraction_artifact": tx.is_artifact, "is_sentence": tx.is_sentence,
+    # ---- blocks and lines ----
+    "furniture_hits": tx.furniture_hits, "is_toc_like": tx.is_toc_like, "block_kind": tx.block_kind, "list_kind": tx.list_kind, "heading_level": tx.heading_level, "heading_level_guess": tx.likely_level, "index_density": tx.index_density, "is_index_like": tx.is_index_like,
+    "is_untranslated_body": tx.is_untranslated_body, "is_untranslated_label": tx.is_untranslated_label, "is_bibliography": tx.is_bibliography, "is_furniture_text": tx.is_furniture_text, "is_part_divider": tx.is_part_divider, "is_body_prose": tx.is_body_prose, "is_index_row": tx.is_index_row,
+    "is_page_reference": tx.is_page_reference, "is_label_line": tx.is_label_line, "is_substantive_line": tx.is_substantive, "has_page_suffix": tx.has_page_suffix, "is_heading_body_concat": tx.is_heading_body_concat, "is_epigraph_heading": lambda x: tx.is_epigraph_heading(x, None), "is_structural_label": tx.is_structural_label,
+    "source_ends_sentence": tx.source_ends_sentence, "is_left_incomplete": tx.left_incomplete, "control_form": tx.control_form, "is_heading_only": tx.is_heading_only, "has_body_text": tx.has_body,
+    "token_count": lambda x: tx.greatest(tx.floor(tx.length(x) / 4), 1),
+}.items():
+    over_forms(_name, _make)
+
+# A glyph put before, between and within the words of every row.
+over_forms("text_bullets", lambda x: tx.bullets(tx.plus("● ", x, " ●; 4●5 • end")))
+
+over_paras("paragraph_role", tx.paragraph_role, "text", "style_name", "heading_level")
+over_paras("role_confidence", tx.role_confidence, "role", "text", "style_name", "heading_level")
+over_paras("style_heading_level", tx.style_level, "style_name")
+over_paras("heading_role", lambda t, level: tx.heading_role(t, tx.first_of(level, 2)), "text", "heading_level")
+over_paras("passthrough_form", tx.passthrough_form, "text", "role", "structural_role")
+over_paras("text_rendered", lambda *a: tx.rendered(*a, tx.lit(1, a[0])), "text", "role", "structural_role", "heading_level", "list_kind")
+over_paras("effective_role", lambda structural, role: tx.first_of(tx.nullif(structural, ""), tx.nullif(role, ""), "body"), "structural_role", "role")
+over_paras("is_protected", layout.protected, "role", "structural_role")
+over_paras("paragraph_plural", lambda n: tx.paragraph_words(n), "pos")
+over_pairs("is_wrap_continuation", tx.continues_wrap)
+over_pairs("block_verdicts", lambda before, x: tx.block_verdict(before, x))
+over_pairs("joined_fragments", lambda before, x: tx.squeeze(tx.sub(tx.plus(tx.strip(before), " ", tx.strip(x)), rf"{tx.S}+([,.;:!?…])", r"\1")))
+
+
+def scripts(x):
+    """Dominant script of an excerpt, and whether another one has five characters and a tenth of its count."""
+    latin, cyrillic, cjk = tx.script_counts(x)
+    top = tx.greatest(latin, cyrillic, cjk)
+    second = tx.case((top == latin, tx.greatest(cyrillic, cjk)), (top == cyrillic, tx.greatest(latin, cjk)), other=tx.greatest(latin, cyrillic))
+    return {"latin": latin, "cyrillic": cyrillic, "cjk": cjk, "dominant": tx.case((top == 0, "unknown"), (top == latin, "latin"), (top == cyrillic, "cyrillic"), other="cjk"), "mixed": (second >= 5) & (second * 10 >= top - top % 10)}
+
+
+@query(f"WITH {FORMS} SELECT doc_id, pos, {', '.join(f'{v} AS {k}' for k, v in scripts(T).items())} FROM m")
+def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms_of(spark, sf_dir).select("doc_id", "pos", *[v.alias(k) for k, v in scripts(F.col("text")).items()])
 
 
-@query(f"WITH {MARKED}, {RUNS.format(KIND.format(T), 'm')} SELECT doc_id, key, min(pos) AS first_pos, count(*) AS length FROM r GROUP BY doc_id, key, g")
-def kind_runs(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.runs(forms(spark, sf_dir), tx.block_kind(F.col("text")))
+@query(f"WITH s AS (SELECT doc_id, lang, {', '.join(f'{v} AS {k}' for k, v in scripts(tx.first_of(T, '')).items())} FROM documents) SELECT doc_id, dominant, mixed, CASE WHEN dominant = 'unknown' THEN NULL ELSE dominant = {tx.language_script(c('lang'))} END AS fits_language FROM s")
+def script_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scripts(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", found["dominant"].alias("dominant"), found["mixed"].alias("mixed"))
+    return rows.select("doc_id", "dominant", "mixed", F.when(F.col("dominant") != "unknown", F.col("dominant") == tx.language_script(F.col("lang"))).alias("fits_language"))
 
 
-@query(f"WITH {MARKED}, {RUNS.format(TOC.format(T), 'm')} SELECT doc_id, min(pos) AS first_pos, count(*) AS length FROM r WHERE key GROUP BY doc_id, g")
-def toc_regions(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.toc_regions(forms(spark, sf_dir))
+HEADING = str(tx.heading_level(T).isNotNull())
 
 
-@query(f"""WITH {MARKED}, h AS (SELECT doc_id, pos, CASE WHEN {LEVEL.format(T)} IS NOT NULL THEN pos END AS head_pos FROM m)
+@query(f"""WITH {FORMS}, h AS (SELECT doc_id, pos, CASE WHEN {HEADING} THEN pos END AS head_pos FROM m)
     SELECT doc_id, pos, max(head_pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_pos,
            min(head_pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_pos FROM h""")
-def nearest_heading(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.nearest(forms(spark, sf_dir), tx.heading_level(F.col("text")).isNotNull())
+def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.nearest(forms_of(spark, sf_dir), tx.heading_level(F.col("text")).isNotNull())
+
+
+@query(f"""WITH {FORMS}, h AS (SELECT doc_id, pos, {HEADING} AS head FROM m), s AS (SELECT doc_id, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), 2147483647) AS next FROM h WHERE head)
+    SELECT h.doc_id, h.pos, s.start FROM h JOIN s ON h.doc_id = s.doc_id AND h.pos >= s.start AND h.pos < s.next""")
+def segment_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range join of rows and their segments, as the last heading seen: one window, no join."""
+    rows = forms_of(spark, sf_dir)
+    start = F.last(F.when(tx.heading_level(F.col("text")).isNotNull(), F.col("pos")), True).over(sq.by_place().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("doc_id", "pos", start.alias("start")).where("start IS NOT NULL")
+
+
+RUNS = "k AS (SELECT doc_id, pos, {0} AS key FROM {1}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS g FROM k)"
+
+
+@query(f"WITH {FORMS}, {RUNS.format(tx.block_kind(T), 'm')} SELECT doc_id, key, min(pos) AS first_pos, count(*) AS length FROM r GROUP BY doc_id, key, g")
+def kind_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.runs(forms_of(spark, sf_dir), tx.block_kind(F.col("text")))
 
 
-@query(f"""WITH RECURSIVE {MARKED}, w AS (
+CHUNKS = """, w AS (
       SELECT doc_id, pos, length(text) AS n, 0 AS chunk, length(text) AS size FROM m WHERE pos = 0
       UNION ALL SELECT m.doc_id, m.pos, length(m.text), CASE WHEN w.size + 2 + length(m.text) <= 2000 THEN w.chunk ELSE w.chunk + 1 END,
              CASE WHEN w.size + 2 + length(m.text) <= 2000 THEN w.size + 2 + length(m.text) ELSE length(m.text) END
-      FROM w JOIN m ON m.doc_id = w.doc_id AND m.pos = w.pos + 1)
-    SELECT doc_id, chunk, count(*) AS n_rows, sum(n) + 2 * (count(*) - 1) AS n_chars FROM w GROUP BY doc_id, chunk""")
-def chunk_jobs(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sq.greedy_chunks(forms(spark, sf_dir), 2000)
+      FROM w JOIN m ON m.doc_id = w.doc_id AND m.pos = w.pos + 1)"""
 
 
-@query(f"WITH {LINES} SELECT doc_id, pos, CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN 0 ELSE round(pos::DOUBLE / (count(*) OVER (PARTITION BY doc_id) - 1), 4) END AS fraction FROM p")
-def position_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.positions(lines_of(spark, sf_dir))
+@query(f"WITH RECURSIVE {FORMS}{CHUNKS} SELECT doc_id, chunk, count(*) AS n_rows, sum(n) + 2 * (count(*) - 1) AS n_chars FROM w GROUP BY doc_id, chunk")
+def chunk_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.greedy_chunks(forms_of(spark, sf_dir), 2000)
+
 
+@query(f"""WITH RECURSIVE {FORMS}{CHUNKS}, e AS (SELECT doc_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos FROM w GROUP BY doc_id, chunk)
+    SELECT *, greatest(first_pos - 3, 0) AS context_first, least(last_pos + 3, max(last_pos) OVER (PARTITION BY doc_id)) AS context_last FROM e""")
+def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.chunk_context(forms_of(spark, sf_dir), 2000)
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, {LAYOUT} AS key FROM p)
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, {tx.layout_key(T)} AS key FROM p)
     SELECT doc_id, key, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, round((max(pos) - min(pos))::DOUBLE / (count(*) - 1), 4) AS mean_gap
     FROM s WHERE key <> '' AND length(key) <= 80 GROUP BY doc_id, key HAVING count(*) >= 2""")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.repeated_lines(lines_of(spark, sf_dir), 2)
 
 
-REPORT = f"""{MARKED}, rep AS (SELECT doc_id, count(*) AS n_rows, count(*) FILTER (({ROLE.format(T)}) = 'heading') AS headings, count(*) FILTER (({ROLE.format(T)}) = 'list') AS lists,
-    count(*) FILTER ({PAGE.format(T)}) AS page_numbers, sum(length(text)) AS chars, max(length(text)) AS longest, round(count(*) FILTER (({ROLE.format(T)}) = 'heading')::DOUBLE / count(*), 4) AS heading_share FROM m GROUP BY doc_id)"""
+REPORT = f"""{PARAS}, rep AS (SELECT doc_id, count(*) AS n_rows, count(*) FILTER (role = 'heading') AS headings, count(*) FILTER (role = 'list') AS lists,
+    count(*) FILTER ({tx.is_page_number(T)}) AS page_numbers, sum(length(text)) AS chars, max(length(text)) AS longest, round(count(*) FILTER (role = 'heading')::DOUBLE / count(*), 4) AS heading_share FROM para GROUP BY doc_id)"""
 
 
 @query(f"WITH {REPORT} SELECT * FROM rep")
-def document_report(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    return sm.document_report(forms(spark, sf_dir))
+def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.document_report(paras_of(spark, sf_dir))
 
 
 @query(f"""WITH {REPORT} SELECT doc_id, concat_ws(',', CASE WHEN headings > 0 AND NOT heading_share <= 0.3 THEN 'few_headings' END, CASE WHEN NOT longest <= 2000 THEN 'longest' END, CASE WHEN n_rows >= 5 AND NOT page_numbers = 0 THEN 'page_numbers' END) AS failed,
     CASE WHEN (headings > 0 AND NOT heading_share <= 0.3) OR NOT longest <= 2000 OR (n_rows >= 5 AND NOT page_numbers = 0) THEN 'fail' ELSE 'pass' END AS verdict FROM rep""")
-def acceptance_checks(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    c = F.col
-    checks = {"few_headings": (c("headings") > 0, c("heading_share") <= 0.3), "longest": (F.lit(True), c("longest") <= 2000), "page_numbers": (c("n_rows") >= 5, c("page_numbers") == 0)}
-    return sm.check_table(sm.document_report(forms(spark, sf_dir)), checks).select("doc_id", "failed", "verdict")
+def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col
+    checks = {"few_headings": (x("headings") > 0, x("heading_share") <= 0.3), "longest": (F.lit(True), x("longest") <= 2000), "page_numbers": (x("n_rows") >= 5, x("page_numbers") == 0)}
+    return sm.check_table(sm.document_report(paras_of(spark, sf_dir)), checks).select("doc_id", "failed", "verdict")
+
+
+@query(f"WITH {FORMS}, s AS (SELECT doc_id, pos, {tx.block_kind(T)} AS kind FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS nth FROM s) SELECT doc_id, kind, pos, nth FROM r WHERE nth <= 3")
+def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = forms_of(spark, sf_dir).select("doc_id", "pos", tx.block_kind(F.col("text")).alias("kind"))
+    return own.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("pos"))).where("nth <= 3")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return rows.join(source, rows.l_orderkey == source.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", F.col("o_orderkey").isNotNull().alias("found"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN 0 ELSE round(pos::DOUBLE / (count(*) OVER (PARTITION BY doc_id) - 1), 4) END AS fraction FROM p")
+def position_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.positions(lines_of(spark, sf_dir))
 
 
 @query("SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS cost, count(value) AS costed FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))")
@@ -234,37 +215,11 @@ def font_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.z_scores(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_size").drop("p_size")
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey")
-def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return rows.join(source, rows.l_orderkey == source.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", F.col("o_orderkey").isNotNull().alias("found"))
-
-
-def found_in(rows: DataFrame, source: DataFrame) -> DataFrame:
-    return rows.join(source, rows.l_orderkey == source.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", F.col("o_orderkey").isNotNull().alias("found"))
-
-
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
-def whole_registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As registry_left_join, with every order."""
-    return found_in(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 def uncovered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey").join(table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@query(f"""WITH {MARKED}, h AS (SELECT doc_id, pos, {LEVEL.format(T)} IS NOT NULL AS head FROM m), s AS (SELECT doc_id, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), 2147483647) AS next FROM h WHERE head)
-    SELECT h.doc_id, h.pos, s.start FROM h JOIN s ON h.doc_id = s.doc_id AND h.pos >= s.start AND h.pos < s.next""")
-def segment_of_row(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    """A range join of rows and their segments, as the last heading seen: one window, no join."""
-    rows = forms(spark, sf_dir)
-    start = F.last(F.when(tx.heading_level(F.col("text")).isNotNull(), F.col("pos")), True).over(sq.by_place().rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", "pos", start.alias("start")).where("start IS NOT NULL")
-
-
 @query(f"""WITH t AS (SELECT conv_id, turn, list_distinct({WORDS.format("lower(coalesce(text, ''))")}) AS w, lag(list_distinct({WORDS.format("lower(coalesce(text, ''))")})) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations)
     SELECT conv_id, turn, len(list_intersect(w, v)) AS shared, CASE WHEN len(list_distinct(w || v)) = 0 THEN 0 ELSE round(len(list_intersect(w, v))::DOUBLE / len(list_distinct(w || v)), 4) END AS jaccard FROM t WHERE v IS NOT NULL""")
 def turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,31 +243,14 @@ def pairwise_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.when(won, "user").when(lost, "assistant").otherwise("tie").alias("winner"), F.when(won, 1.0).when(lost, 0.0).otherwise(0.5).alias("c")).groupBy("winner").agg(F.count("c").alias("n"), F.sum("c").alias("credit"))
 
 
-@query(f"""WITH {MARKED}, e AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'delete_block' ELSE 'remove_noise' END AS op, substr(sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END), 1, 16) AS text_hash, 'the' AS noise FROM m WHERE pos % 5 IN (0, 2)),
-    x AS (SELECT m.doc_id, m.pos, m.text, e.op, CASE WHEN e.op IS NULL THEN 'none' WHEN substr(sha256(m.text), 1, 16) <> e.text_hash THEN 'stale' ELSE 'applied' END AS outcome FROM m LEFT JOIN e USING (doc_id, pos))
-    SELECT doc_id, pos, outcome, CASE WHEN outcome = 'applied' AND op = 'delete_block' THEN NULL WHEN outcome = 'applied' THEN replace(text, 'the', '') ELSE text END AS text FROM x""")
-def apply_edits(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    rows = forms(spark, sf_dir)
-    made_for = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    op = F.when(F.col("pos") % 5 == 0, "delete_block").otherwise("remove_noise")
-    edits = rows.where("pos % 5 IN (0, 2)").select("doc_id", "pos", op.alias("op"), F.substring(F.sha2(made_for.cast("binary"), 256), 1, 16).alias("text_hash"), F.lit("the").alias("noise"))
-    return sq.apply_edits(rows, edits)
-
-
 @query("SELECT doc_id, coalesce(lang, '') || ':' || length(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) AS token FROM documents")
 def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", F.coalesce("lang", F.lit("")), F.length(t).cast("string"), F.sha2(t.cast("binary"), 256)).alias("token"))
 
 
-@query(f"""WITH {MARKED}, s AS (SELECT doc_id, pos, {KIND.format(T)} AS kind, row_number() OVER (PARTITION BY doc_id, {KIND.format(T)} ORDER BY pos) AS nth FROM m) SELECT doc_id, kind, pos, nth FROM s WHERE nth <= 3""")
-def first_samples(spark: SparkSession, sf_dir: str, forms: Callable = forms_of) -> DataFrame:
-    own = forms(spark, sf_dir).select("doc_id", "pos", tx.block_kind(F.col("text")).alias("kind"))
-    return own.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("pos"))).where("nth <= 3")
-
-
 @query("""WITH x AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth, count(*) OVER (PARTITION BY user_id) AS seen FROM events) SELECT user_id, event_id, event_type, seen FROM x WHERE nth = 1""")
 def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of each key by one partial aggregate, not a sort."""
     best = F.max(F.struct("ts", "event_id", "event_type")).alias("m")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(best, F.count(F.lit(1)).alias("seen")).select("user_id", "m.event_id", "m.event_type", "seen")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(best, F.count(F.lit(1)).alias("seen")).select("user_id", "m.event_id", "m.event_type", "seen")
\ No newline at end of file

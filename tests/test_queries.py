@@ -81,19 +81,29 @@ def test_stream_progress(spark, tmp_path):
         q.stop()
 
 
-def test_whole_forms_keep_every_line(spark):
-    names = [n for n in library.QUERIES if f"whole_{n}" in library.QUERIES]
-    assert len(names) == 32
-    text = "\n".join(f"{k} " + "long words " * 9 + "end" for k in range(21))
-    rows = library.whole_marked(library.paragraphs(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))).orderBy("doc_id", "pos").collect()
-    own = [r for r in rows if r.doc_id == 1]
-    assert [r.pos for r in own] == list(range(24)) and [r.text for r in own if r.text.isdigit()] == ["4", "12", "20"]
-    assert all(line in r.text for line, r in zip(text.split("\n"), [r for r in own if not r.text.isdigit()], strict=True))
-    assert [(r.pos, r.text) for r in rows if r.doc_id == 2] == [(0, "## ")]
-
-
-def test_whole_registry_join_reads_every_order(spark, tmp_path):
+def test_forms_keep_every_line(spark):
+    text = "\n".join(f"Line {k} " + "long words " * 9 + "end" for k in range(40))
+    from folio.sources.tables import marked, paragraphs
+
+    got = marked(paragraphs(spark.createDataFrame([(3, text), (2, None)], "doc_id long, text string"))).orderBy("doc_id", "pos").collect()
+    own = [r for r in got if r.doc_id == 3]
+    assert [r.pos for r in own] == list(range(80)) and [r.pos for r in got if r.doc_id == 2] == [0, 1]
+    for k, line in enumerate(text.split("\n")):
+        form = own[2 * k].text
+        assert line.lower() in form.lower() or (3 + k) % 16 == 10 and len(form) == len(line)
+
+
+def test_registry_join_reads_every_order(spark, tmp_path):
     spark.createDataFrame([(k, 1) for k in (1, 2, 3, 6, 9)] + [(None, 1)], "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(k, "F") for k in (1, 3, 6)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {r.l_orderkey: (r.found, r.o_orderstatus) for r in library.QUERIES["whole_registry_left_join"](spark, str(tmp_path)).collect()}
+    got = {r.l_orderkey: (r.found, r.o_orderstatus) for r in library.QUERIES["registry_left_join"](spark, str(tmp_path)).collect()}
     assert got == {k: (True, "F") if k in (1, 3, 6) else (False, None) for k in (1, 2, 3, 6, 9, None)}
+
+
+def test_runs_keep_null_keys_together_and_chunks_take_null_texts(spark):
+    from folio.operators.sequences import greedy_chunks, runs
+
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, None), (1, 3, "a"), (2, 0, None)], "doc_id long, pos int, text string")
+    got = sorted((r.doc_id, r.first_pos, r.key, r.length) for r in runs(rows, rows.text).collect())
+    assert got == [(1, 0, "a", 1), (1, 1, None, 2), (1, 3, "a", 1), (2, 0, None, 1)]
+    assert sorted((r.doc_id, r.chunk, r.n_rows, r.n_chars) for r in greedy_chunks(rows, 100).collect()) == [(1, 0, 4, 8), (2, 0, 1, 0)]
