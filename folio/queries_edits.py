@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as tx
 from folio.functions.core import plus, swapped
 from folio.operators import align, edits
+from folio.operators import sequences as sq
 from folio.operators import statistics as st
 from folio.operators import summaries as sm
 from folio.registry import FORMS, PARAS, T, c, forms_of, named_sql, paras_of, query
@@ -143,6 +144,17 @@ def edits_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.applied(rows, accepted.join(made, ["doc_id", "pos"]))
 
 
+@query(f"""WITH {FORMS}, e AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'delete_block' ELSE 'remove_noise' END AS op, substr(sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END), 1, 16) AS text_hash, 'the' AS noise FROM m WHERE pos % 5 IN (0, 2)),
+    x AS (SELECT m.doc_id, m.pos, m.text, e.op, CASE WHEN e.op IS NULL THEN 'none' WHEN substr(sha256(m.text), 1, 16) <> e.text_hash THEN 'stale' ELSE 'applied' END AS outcome FROM m LEFT JOIN e USING (doc_id, pos))
+    SELECT doc_id, pos, outcome, CASE WHEN outcome = 'applied' AND op = 'delete_block' THEN NULL WHEN outcome = 'applied' THEN replace(text, 'the', '') ELSE text END AS text FROM x""")
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forms_of(spark, sf_dir)
+    made_for = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    op = F.when(F.col("pos") % 5 == 0, "delete_block").otherwise("remove_noise")
+    made = rows.where("pos % 5 IN (0, 2)").select("doc_id", "pos", op.alias("op"), tx.short_hash(made_for).alias("text_hash"), F.lit("the").alias("noise"))
+    return sq.apply_edits(rows, made)
+
+
 @query(f"""WITH {FORMS}, r AS (SELECT doc_id, pos, text, ['heading', 'body', 'list_item'][(doc_id + pos) % 3 + 1] AS role FROM m WHERE pos % 2 = 0), v AS (SELECT *, {tx.strip(c(f"regexp_replace({tx.strip(T)}, '^#+', '')"))} AS seen, {tx.like(T, tx.IMAGE)} AS anchor FROM r),
     x AS (SELECT *, CASE WHEN role = 'heading' THEN '## ' || seen WHEN role = 'list_item' AND NOT regexp_matches(seen, '^(?:[-*]|\\d+\\.)\\s+') THEN '- ' || seen ELSE seen END AS made FROM v)
     SELECT doc_id, pos, CASE WHEN anchor THEN 'docx_image_anchor_protected' WHEN made = text THEN 'unchanged' ELSE 'reannotated' END AS outcome, CASE WHEN anchor THEN text ELSE made END AS text FROM x""")
