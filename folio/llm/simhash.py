@@ -239,14 +239,20 @@ def _links(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
     return keyed.select(*columns, "node", "fp", "pivots", *more).mapInArrow(run, "a long, b long")
 
 
-def with_pivots(distinct: DataFrame) -> DataFrame:
+def pivot_rows(fps: np.ndarray) -> pa.Array:
+    table = pivot_table(fps.view(np.uint64)).tobytes()
+    return pa.array([table[k : k + PIVOTS] for k in range(0, len(table), PIVOTS)], pa.binary())
+
+
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """rows, whose first column is fp, with their pivot tables."""
+    names = [*rows.columns, "pivots"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pivot_table(batch.column(0).to_numpy().view(np.uint64)).tobytes()
-            rows = [table[k : k + PIVOTS] for k in range(0, len(table), PIVOTS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["fp", "pivots"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pivot_rows(batch.column(0).to_numpy())], names)
 
-    return distinct.select("fp").mapInArrow(run, "fp long, pivots binary")
+    return rows.mapInArrow(run, rows.select("*", F.lit(None).cast("binary").alias("pivots")).schema)
 
 
 def links_within(keyed: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
@@ -273,7 +279,7 @@ def near_links(distinct: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     masks = block_masks(block_count(distinct.count(), radius), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(at).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for at, m in enumerate(signed)])
-    keyed = with_pivots(distinct).select(F.col("fp").alias("node"), "fp", "pivots", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots")
+    keyed = with_pivots(distinct.select("fp")).select(F.col("fp").alias("node"), "fp", "pivots", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots")
     return links_within(written(keyed, "keyed"), radius, hot)
 
 
@@ -293,50 +299,68 @@ def op5_pivot_simhash(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Dat
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, fp, sketch, shingles): the set of shingle hashes, ascending; node is its hash, and the others follow from it too."""
+    """(doc_id, node, fp, sketch); node is the hash of the set of shingle hashes, ascending, from which the others follow too."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         # Few rows at a time: sets are larger than texts.
         for batch in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
-            found = [np.unique(shingle_hashes(x, shingle)).astype("<u8") for x in batch.column(1).to_pylist()]
-            sets = [x.tobytes() for x in found]
-            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            found = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
             fps = np.array([majority(x) for x in found], np.uint64).view(np.int64)
-            sketches = pa.array([sketch(x).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(fps), sketches, pa.array(sets, pa.binary())], ["doc_id", "node", "fp", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(x) for x in found], pa.int64()), pa.array(fps), pa.array([sketch(x).tobytes() for x in found], pa.binary())], ["doc_id", "node", "fp", "sketch"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, node long, fp long, sketch binary")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle)).astype("<u8")
+
+
+def node_of(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, node long, fp long, sketch binary, shingles binary")
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(choice, key, node, fp, pivots, sketch, shingles) of rows (key, node, fp, sketch, text), but for those whose text isn't the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
+            found = [shingle_set(x, shingle) for x in batch.column(4).to_pylist()]
+            own = np.flatnonzero(np.array([node_of(x) for x in found], np.int64) == batch.column(1).to_numpy())
+            kept = batch.take(pa.array(own))
+            pivots = pivot_rows(kept.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int64)), kept.column(0), kept.column(1), kept.column(2), pivots, kept.column(3), pa.array([found[k].tobytes() for k in own], pa.binary())], ["choice", "key", "node", "fp", "pivots", "sketch", "shingles"])
+
+    return rows.select("key", "node", "fp", "sketch", "text").mapInArrow(run, "choice long, key long, node long, fp long, pivots binary, sketch binary, shingles binary")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, hot: int = HOT) -> DataFrame:
     """doc_id and component_id by links of a shingle similarity of 0.8 or more; see the module's text."""
     prints = written(sketched(docs, shingle), "sketches")
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "nodes")
-    table = with_pivots(nodes.select("fp").distinct())
-    rows = nodes.join(table, "fp")
-    # A key is a hash of the places' bytes, two a place; the last run goes on at the first place.
+    # A key is a hash of the places' bytes, two a place, and of which run it is; the last run goes on at the first place.
     places = F.concat("sketch", F.substring("sketch", 1, 2 * ROWS))
-    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.xxhash64(F.substring(places, 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(KEYS)])
-    keyed = rows.select("node", "fp", "pivots", "sketch", F.explode(keys).alias("k")).select("k.choice", "k.key", "node", "fp", "pivots", "sketch")
-    # Only keys that two nodes share can link: the others go before the rows with their sketches move.
-    shared = keyed.groupBy("choice", "key").count().where("count > 1").select("choice", "key")
-    keyed = written(keyed.join(shared, ["choice", "key"], "left_semi"), "keyed")
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring(places, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(KEYS)])
+    narrow = nodes.select("node", F.explode(keys).alias("key"))
+    # Only keys that two nodes share can link: the others go while rows are two numbers, before sketches are beside them.
+    shared = written(narrow.join(narrow.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "shared-keys")
+    keyed = shared.join(with_pivots(nodes.select("fp", "node", "sketch")), "node").select(F.lit(0).cast("long").alias("choice"), "key", "node", "fp", "pivots", "sketch")
+    keyed = written(keyed, "keyed")
+    discard(shared)
     groups = components(links_within(keyed, WIDE, hot))
-    discard(keyed)
-    # components() has a row for each node but the roots. Then the sets decide within each group.
+    # components() has a row for each node but the roots. Then the sets decide within each group; only members of groups are hashed again.
     groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()).distinct(), "groups")
-    sets = prints.select("node", F.col("doc_id").alias("least"), "shingles").join(groups.join(nodes, "node"), ["node", "least"]).dropDuplicates(["node"])
-    sets = sets.join(table, "fp").select(F.lit(0).cast("long").alias("choice"), F.col("root").alias("key"), "node", "fp", "pivots", "sketch", "shingles")
-    sets = written(sets, "sets")
+    discard(keyed)
+    wanted = groups.withColumnRenamed("root", "key").join(nodes, "node").withColumn("least", F.coalesce("least", F.lit(NO_ID)))
+    texts = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least"), "text")
+    sets = written(shingle_sets(texts.join(wanted, "least"), shingle).dropDuplicates(["node"]), "sets")
     roots = components(links_within(sets, WIDE, hot))
-    discard(sets)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(prints.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id"), "near-copies")
-    for table in (prints, nodes, groups, roots):
+    for table in (prints, nodes, groups, sets, roots):
         discard(table)
     return found
 
