@@ -98,9 +98,11 @@ def probabilities(margin: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 def fit_cumulative(place: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int = GRADES) -> Model:
     """Full-batch Adam on the mean log loss with weight decay; thresholds stay in order as a first one and positive steps."""
     size, rows = 1 << BITS, len(grades)
-    keep = np.bincount(feature, minlength=size)[feature] >= LEAST_DOCS
-    place, feature, value = place[keep], feature[keep], value[keep]
-    used, feature = np.unique(feature, return_inverse=True)
+    used = np.flatnonzero(np.bincount(feature, minlength=size) >= LEAST_DOCS)
+    number = np.full(size, -1, np.int32)
+    number[used] = np.arange(len(used))
+    keep = number[feature] >= 0
+    place, feature, value = place[keep], number[feature[keep]], value[keep]
     share = [min(1 - 0.5 / rows, max(0.5 / rows, float((grades > k).mean()))) for k in range(levels - 1)]
     start = np.maximum.accumulate([np.log((1 - s) / s) for s in share])
     theta = np.append(start[:1], np.log(np.maximum(np.diff(start), 0.05)))
@@ -154,9 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     # Partitions come in any order; the fit must not depend on it.
     found = found.sort_values(["grade", "f"], kind="stable")
-    feature = [np.frombuffer(x, "<i4") for x in found["f"]]
-    place = np.repeat(np.arange(len(found)), [len(x) for x in feature])
-    return fit_with_cut(place, np.concatenate(feature).astype(np.int64), np.frombuffer(b"".join(found["v"]), "<f4").astype(float), found["grade"].to_numpy(np.int64))
+    grades, sizes = found["grade"].to_numpy(np.int64), np.array([len(x) // 4 for x in found["f"]])
+    feature, value = np.frombuffer(b"".join(found["f"]), "<i4"), np.frombuffer(b"".join(found["v"]), "<f4")
+    del found
+    return fit_with_cut(np.repeat(np.arange(len(grades), dtype=np.int32), sizes), feature, value, grades)
 
 
 def fit_with_cut(place: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray) -> Model:
@@ -165,7 +168,8 @@ def fit_with_cut(place: np.ndarray, feature: np.ndarray, value: np.ndarray, grad
     if (grades[kept] > 0).sum() < LEAST_TOXIC:
         return whole
     own = ~kept[place]
-    first = fit_cumulative((np.cumsum(~kept) - 1)[place[own]], feature[own], value[own], grades[~kept])
+    first = fit_cumulative((np.cumsum(~kept) - 1).astype(np.int32)[place[own]], feature[own], value[own], grades[~kept])
+    del own
     margin = np.bincount(place, first.weights[feature] * value, minlength=len(grades))[kept]
     return whole._replace(cut=best_cut(probabilities(margin, first.thresholds)[:, 0], grades[kept] > 0))
 
