@@ -5,9 +5,9 @@ run of BLOCK words lies whole in one. A passage is a TF-IDF vector over 2^BITS
 hashed words, with document frequencies from every document, and no weight is
 zero however common a word is; its latent vector
 is the projection on the leading right singular vectors, found by randomised
-SVD: a random test matrix goes once through the passages of a bounded sample (by
-hash of the text), each task adding up its own part of A'(A R), and an orthonormal
-basis of the sum, scaled by the inverse singular values, is the index. Every
+SVD: a random test matrix goes once through the passages of every document, each
+task adding up its own part of A'(A R), and an orthonormal basis of the sum,
+scaled by the inverse singular values, is the index. Every
 passage of every document is projected and compared; benchmark passages are the
 queries, in slabs of SLAB, so what is broadcast is bounded.
 
@@ -46,8 +46,10 @@ from folio.session import ship_package
 BITS = 13
 RANK = 192
 BLOCK = 20
-#: Documents whose passages the basis is fitted on, about.
-SAMPLE_DOCS = 4_000
+#: Words to a task of the fit, about: each sends one matrix.
+FIT_WORDS = 10_000_000
+#: Rows that the fit adds up at once.
+STRIP = 2_048
 #: Benchmark passages in one slab; a slab's latent vectors are what is broadcast.
 SLAB = 2_000
 #: Candidates by the latent vectors, and by words that stand next to each other.
@@ -117,14 +119,15 @@ def block_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(lengths) - lengths, many) + nth * BLOCK, text
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Of each feature, over every document, and how many those are; the sums are SIZE + 1 rows."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Of each feature, over every document, and how many documents and words those are; the sums are SIZE + 2 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mark = np.zeros(SIZE + 1, np.int64), np.zeros(SIZE, np.int64)
+        total, mark = np.zeros(SIZE + 2, np.int64), np.zeros(SIZE, np.int64)
         for batch in batches:
             total[SIZE] += batch.num_rows
             for _, part in runs(batch.column(0).to_pylist()):
+                total[SIZE + 1] += len(part.flat)
                 places = np.arange(int(part.lengths.max()))
                 for low, high in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist(), strict=True):
                     # A feature counts where its last place in the text is.
@@ -135,9 +138,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
 
     found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SIZE + 1, np.int64)
+    out = np.zeros(SIZE + 2, np.int64)
     out[found["feature"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out[:SIZE], int(out[SIZE])
+    return out[:SIZE], int(out[SIZE]), int(out[SIZE + 1])
 
 
 def idf(frequencies: np.ndarray, documents: int) -> np.ndarray:
@@ -180,10 +183,12 @@ def passages(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-def image_of(texts: list, weights: np.ndarray, rank: int) -> np.ndarray:
-    """These texts' part of A'(A R)."""
-    test = weighted(np.random.default_rng(7).standard_normal((SIZE, rank)), weights)
-    total = np.zeros((SIZE, rank), np.float32)
+def random_matrix(weights: np.ndarray, rank: int) -> np.ndarray:
+    return weighted(np.random.default_rng(7).standard_normal((SIZE, rank)), weights)
+
+
+def add_image(total: np.ndarray, texts: list, test: np.ndarray) -> None:
+    """Adds these texts' part of A'(A R), not yet weighted, to the total."""
     for _, part in runs(texts):
         blocks, starts, text, _ = blocks_of(part, test)
         if not len(starts):
@@ -193,12 +198,27 @@ def image_of(texts: list, weights: np.ndarray, rank: int) -> np.ndarray:
         back = sums.copy()
         same = np.flatnonzero(np.append(False, text[1:] == text[:-1]))
         back[same] += sums[same - 1]
-        flat = part.flat
-        block = np.searchsorted(starts, np.arange(len(flat)), side="right") - 1
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-        total[flat[order][heads]] += np.add.reduceat(back[block[order]], heads, axis=0) * weights[flat[order][heads], None]
-    return total
+        order = np.argsort(part.flat, kind="stable")
+        flat, rows = part.flat[order], np.searchsorted(starts, order, side="right") - 1
+        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        # A feature's rows, at most STRIP at once; only whole strips are of the same feature and equally long, and they go alone.
+        strips = np.arange(len(flat)) - np.repeat(heads, np.diff(np.append(heads, len(flat))))
+        heads = np.flatnonzero(strips % STRIP == 0)
+        many = np.diff(np.append(heads, len(flat)))
+        # Features that stand equally often here go together: their rows are added up side by side.
+        for n in np.unique(many).tolist():
+            own = heads[many == n]
+            step = max(1, STRIP // n)
+            for at in range(0, len(own), step):
+                first = own[at : at + step]
+                total[flat[first]] += back[rows[first[:, None] + np.arange(n)]].sum(1)
+
+
+def image_of(texts: list, weights: np.ndarray, rank: int) -> np.ndarray:
+    """These texts' part of A'(A R)."""
+    total = np.zeros((SIZE, rank))
+    add_image(total, texts, random_matrix(weights, rank))
+    return (total * weights[:, None]).astype(np.float32)
 
 
 def basis_of(image: np.ndarray) -> np.ndarray:
@@ -211,29 +231,34 @@ def basis_of(image: np.ndarray) -> np.ndarray:
     return ((vectors @ left) / scale).astype(np.float32)
 
 
-def basis(docs: DataFrame, weights: np.ndarray, documents: int, rank: int = RANK, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """SIZE x rank: right singular vectors of the sample's passages over their singular values."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def basis(docs: DataFrame, weights: np.ndarray, words: int, rank: int = RANK) -> np.ndarray:
+    """SIZE x rank: right singular vectors of all passages over their singular values."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SIZE, rank), np.float32)
-        if texts := [x for batch in batches for x in batch.column(0).to_pylist()]:
-            total = image_of(texts, sent.value, rank)
-        at = np.arange(0, SIZE, 256)
+        total, test = np.zeros((SIZE, rank)), random_matrix(sent.value, rank)
+        for batch in batches:
+            add_image(total, batch.column(0).to_pylist(), test)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[k : k + 256].tobytes() for k in at], pa.binary())], ["slice", "part"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py(), np.float32).astype(float) for x in table["part"]], axis=0).astype(np.float32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
+            at = np.arange(0, SIZE, 256)
+            image = (total * sent.value[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([image[k : k + 256].tobytes() for k in at], pa.binary())], ["slice", "part"])
 
-    # So many texts on average, chosen by content: the sample is bounded, and the same on every run.
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_docs / max(1, documents)))).select("text")
-    # Few texts, so few tasks, each of which sends one matrix.
-    parts = some.repartition(8).mapInArrow(run, "slice long, part binary").groupBy("slice").applyInArrow(add, "slice long, part binary").toPandas()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[at] = total.get(at, 0.0) + np.frombuffer(part, np.float32).astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["slice", "part"])
+
+    # Every text is read; only the tasks are bounded, as each of them sends one matrix.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, words // FIT_WORDS)
+    kinds = "slice long, part binary"
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, kinds).repartition("slice").mapInArrow(add, kinds).toPandas()
     image = np.zeros((SIZE, rank), np.float32)
     for at, part in zip(parts["slice"], parts["part"], strict=True):
-        image[at : at + 256] = np.frombuffer(part, np.float32).reshape(-1, rank)
+        image[at : at + 256] += np.frombuffer(part, np.float32).reshape(-1, rank)
     return basis_of(image)
 
 
@@ -419,9 +444,9 @@ def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple]:
     """The broadcast index, with each slab of items."""
     spark = docs.sparkSession
     ship_package(spark)
-    frequencies, documents = document_frequencies(docs)
+    frequencies, documents, words = document_frequencies(docs)
     weights = idf(frequencies, documents)
-    index = basis(docs, weights, documents)
+    index = basis(docs, weights, words)
     table = weighted(index, weights)
     sent = spark.sparkContext.broadcast(table)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")

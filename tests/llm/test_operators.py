@@ -547,3 +547,24 @@ def test_op9_recall_of_paraphrases():
     got = {(at, item) for at, (item, *_) in latent_leaks.search(texts, items, table)}
     want = {(at, k % 80) for at in range(240) for k in [at] if items.verify(at % 80, latent_leaks.words_of(texts[at]), 0, 10**6)}
     assert len(want) > 150 and len(want & got) >= 0.99 * len(want)
+
+
+def test_op9_basis_is_fitted_on_every_document(spark):
+    from folio.llm import latent_leaks as L
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, int(rng.integers(1, 60))) % 4000) for _ in range(6000)] + ["same " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    ((sent, _),) = L._prepared(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string"))
+    weights = L.idf(np.bincount(np.concatenate([np.unique(L.numbered(L.words_of(t))) for t in texts]), minlength=L.SIZE), len(texts))
+    # The passages one by one.
+    test, image = np.random.default_rng(7).standard_normal((L.SIZE, L.RANK)) * weights[:, None], np.zeros((L.SIZE, L.RANK))
+    for text in texts:
+        flat = L.numbered(L.words_of(text))
+        for at in range(0, len(flat), L.BLOCK):
+            own, n = np.unique(flat[at : at + 2 * L.BLOCK], return_counts=True)
+            image[own] += np.outer(n * weights[own], n @ test[own])
+    want = L.weighted(L.basis_of(image), weights)
+    for got in (sent.value, L.weighted(L.basis_of(L.image_of(texts, weights, L.RANK)), weights)):
+        a, b = got[:400] @ got[:400].T, want[:400] @ want[:400].T
+        assert np.abs(a - b).max() < 0.01 * np.abs(b).max()
