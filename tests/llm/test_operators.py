@@ -600,3 +600,54 @@ def test_op1_is_fitted_on_every_labelled_row(spark):
     p = 1 / (1 + np.exp(t[0] - x @ w))
     f1 = lambda c: 2 * (toxic & (p >= c)).sum() / ((p >= c).sum() + toxic.sum())
     assert f1(model.cut) > max(map(f1, np.linspace(0.02, 0.98, 49))) - 0.01
+
+
+def test_op1_features_survive_their_packing(spark):
+    rng = np.random.default_rng(5)
+    texts = ["", None, "a", "one", "zebra " * 700 + "äöüßéè naïve wörterbuch", " 12 ", "x" * 300, *(" ".join(f"{'abcdefgh'[x % 8]}{'klmnop'[x % 6]}{'qrstu' * (x % 3)}" for x in rng.integers(0, 200, n)) for n in (1, 3, 50, 4000))]
+    sizes, gaps, counts, large = severity.encoded(texts)
+    rows = spark.createDataFrame([(k % 3, k % 2 == 0, int(n), *map(bytes, x)) for k, (n, *x) in enumerate(zip(sizes, gaps, counts, large, strict=True))], "grade int, kept boolean, words long, gaps binary, counts binary, large binary").coalesce(1)
+    ((got,),) = [list(severity.rows_of(b)) for b in severity.packed(rows).toArrow().combine_chunks().to_batches()]
+    place, feature, value = severity.features(texts)
+    real = got.value > 0
+    assert got.grades.tolist() == [k % 3 for k in range(len(texts))] and got.kept.tolist() == [k % 2 == 0 for k in range(len(texts))]
+    assert np.repeat(np.arange(len(texts)), got.many)[real].tolist() == place.tolist() and got.feature[real].tolist() == feature.tolist()
+    assert np.allclose(got.value[real], value) and max(map(len, large)) > 0 and not real.all()
+    weights = rng.standard_normal(severity.SIZE)
+    assert np.allclose(got.margin(weights), np.bincount(place, weights[feature] * value, minlength=len(texts)))
+    # Words and their first 4, 5 and 6 characters, not bytes: a word of three letters has one feature, one of seven four.
+    own = lambda *x: [severity.features([t])[1].tolist() for t in x]
+    a, b, c = own("wör", "wörterx", "wörterbuch")
+    assert (len(a), len(b), len(c)) == (1, 4, 4) and len(set(b) & set(c)) == 3
+    assert own("Foo foo, bar") == own("bar-FOO") and severity.features(["foo foo bar"])[2].tolist() != severity.features(["foo bar bar"])[2].tolist()
+
+
+def test_op1_fit_moves_no_texts(spark):
+    """Labels too many to broadcast: what the fit shuffles doesn't follow the texts, of which most have no label."""
+    rng = np.random.default_rng(2)
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+    docs = spark.createDataFrame([(k, f"{'bad' if k % 3 == 0 else 'good'} word " + rng.bytes(4000).hex().translate({ord(x): "0" for x in "abcdef"})) for k in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 1) for k in range(0, 1000, 2)], "doc_id long, toxic int, quality int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = moved()
+        model = severity.fit(docs, labels)
+        shuffled = moved() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled < 400_000
+    got = severity.grade_documents(docs.where("doc_id < 60"), model).collect()
+    assert all((r.p_toxic >= model.cut) == (r.doc_id % 3 == 0) for r in got)
+
+
+def test_op1_filter_drops_no_labelled_document(spark):
+    ids = spark.range(0, 60_000, 3).selectExpr("id * 7919 - 5 AS doc_id")
+    words = severity.filter_of(ids)
+    passed = lambda rows: severity.passed(words, rows.selectExpr("xxhash64(doc_id) AS h").toArrow()["h"].combine_chunks().to_numpy().view(np.uint64))
+    assert passed(ids).all() and passed(spark.range(10**12, 10**12 + 20_000).selectExpr("id AS doc_id")).mean() < 0.1
