@@ -651,3 +651,17 @@ def test_op1_filter_drops_no_labelled_document(spark):
     words = severity.filter_of(ids)
     passed = lambda rows: severity.passed(words, rows.selectExpr("xxhash64(doc_id) AS h").toArrow()["h"].combine_chunks().to_numpy().view(np.uint64))
     assert passed(ids).all() and passed(spark.range(10**12, 10**12 + 20_000).selectExpr("id AS doc_id")).mean() < 0.1
+
+
+def test_op1_memory_of_a_run_of_texts_is_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    texts = [b" ".join(letters[rng.integers(0, 16, 7)].tobytes() for _ in range(2000)).decode() for _ in range(400)]
+    tracemalloc.start()
+    for part in severity._runs(texts):
+        severity.features(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
