@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,16 @@ RANK = 192
 BLOCK = 20
 #: Words to a task of the fit, about: each sends one matrix.
 FIT_WORDS = 10_000_000
-#: Rows that the fit adds up at once.
-STRIP = 2_048
+#: Rows of one feature that the fit adds up at once.
+STRIP = 16
 #: Benchmark passages in one slab; a slab's latent vectors are what is broadcast.
 SLAB = 2_000
 #: Candidates by the latent vectors, and by words that stand next to each other.
 COSINE, RUN = 0.2, 3
 SIMILARITY = 0.8
 ANSWER = 0.6
-RUN_BYTES = 400_000
+#: Bytes of texts that are handled together in the search, and in the fit.
+RUN_BYTES, FIT_BYTES = 400_000, 1_200_000
 SIZE = 1 << BITS
 FOUND = "item_id long, cosine double, similarity double, first_word long, last_word long"
 
@@ -99,12 +101,12 @@ class Run:
         return self.texts[at].split()
 
 
-def runs(texts: list) -> Iterator[tuple[int, Run]]:
+def runs(texts: list, most: int = RUN_BYTES) -> Iterator[tuple[int, Run]]:
     first, held, size = 0, [], 0
     for at, text in enumerate(texts):
         held.append(cleaned(text))
         size += len(held[-1])
-        if size >= RUN_BYTES:
+        if size >= most:
             yield first, Run(held)
             first, held, size = at + 1, [], 0
     if held:
@@ -189,7 +191,7 @@ def random_matrix(weights: np.ndarray, rank: int) -> np.ndarray:
 
 def add_image(total: np.ndarray, texts: list, test: np.ndarray) -> None:
     """Adds these texts' part of A'(A R), not yet weighted, to the total."""
-    for _, part in runs(texts):
+    for _, part in runs(texts, FIT_BYTES):
         blocks, starts, text, _ = blocks_of(part, test)
         if not len(starts):
             continue
@@ -198,20 +200,34 @@ def add_image(total: np.ndarray, texts: list, test: np.ndarray) -> None:
         back = sums.copy()
         same = np.flatnonzero(np.append(False, text[1:] == text[:-1]))
         back[same] += sums[same - 1]
-        order = np.argsort(part.flat, kind="stable")
-        flat, rows = part.flat[order], np.searchsorted(starts, order, side="right") - 1
-        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        # A feature's rows, at most STRIP at once; only whole strips are of the same feature and equally long, and they go alone.
-        strips = np.arange(len(flat)) - np.repeat(heads, np.diff(np.append(heads, len(flat))))
-        heads = np.flatnonzero(strips % STRIP == 0)
-        many = np.diff(np.append(heads, len(flat)))
-        # Features that stand equally often here go together: their rows are added up side by side.
-        for n in np.unique(many).tolist():
-            own = heads[many == n]
-            step = max(1, STRIP // n)
-            for at in range(0, len(own), step):
-                first = own[at : at + step]
-                total[flat[first]] += back[rows[first[:, None] + np.arange(n)]].sum(1)
+        # Numbers of 16 bits are sorted by their digits.
+        order = np.argsort(part.flat.astype(np.uint16), kind="stable")
+        flat, rows = part.flat[order], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(part.flat))))[order]
+        while True:
+            heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            # Strips of a feature's rows give a sum each, and those sums are rows again, until each feature has one.
+            strips = np.flatnonzero((np.arange(len(flat)) - np.repeat(heads, np.diff(np.append(heads, len(flat))))) % STRIP == 0)
+            back = sums_of_strips(back, rows, strips)
+            flat, rows = flat[strips], np.arange(len(strips))
+            if len(strips) == len(heads):
+                break
+        total[flat] += back
+
+
+def sums_of_strips(table: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sums of the table's rows numbered from each head to the next one."""
+    many = np.diff(np.append(heads, len(rows)))
+    order = np.argsort(-many, kind="stable")
+    out = np.empty((len(heads), table.shape[1]), table.dtype)
+    for at in range(0, len(order), 256):
+        strips = order[at : at + 256]
+        first, n = heads[strips], many[strips]
+        own = table[rows[first]]
+        for k in range(1, int(n[0])):
+            longer = int(np.searchsorted(-n, -k))
+            own[:longer] += table[rows[first[:longer] + k]]
+        out[strips] = own
+    return out
 
 
 def image_of(texts: list, weights: np.ndarray, rank: int) -> np.ndarray:
@@ -288,6 +304,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [words_of(t) for _, t in rows]
         self.counts = [Counter(w) for w in self.words]
+        self.distinct = [frozenset(w) for w in self.words]
         self.answers = [Counter(w[-max(1, len(w) // 4) :]) for w in self.words]
         table = np.stack([index[numbered(w)].sum(0) for w in self.words])
         # Features of each item; the blocks that a stretch searched by verify() can touch, and those that verify() looks beyond a passage.
@@ -295,7 +312,7 @@ class Items:
         for at, w in enumerate(self.words):
             self.has[numbered(w), at] = 1
         n = np.array([len(w) for w in self.words])
-        self.need = np.maximum(SIMILARITY * n - 1e-9, 0.5)
+        self.need = np.ceil(np.maximum(SIMILARITY * n - 1e-9, 0.5)).astype(np.int32)
         self.span = (n + np.maximum(4, n // 3) + BLOCK - 2) // BLOCK + 1
         self.reach = -(-n // BLOCK)
         # An item longer than a passage is compared by its pieces of that length too.
@@ -358,7 +375,9 @@ class Items:
         hits = np.zeros((end - first, len(self.ids)), np.uint8)
         for column in grid[first:end].T:
             hits += self.has[column]
-        sums = np.zeros((end - first + 1, len(self.ids)), np.int32)
+        # Only differences over a few blocks count, if an item isn't long: sums may then wrap.
+        kind = np.uint16 if BLOCK * (2 * margin + 1) < 1 << 16 else np.int32
+        sums = np.zeros((end - first + 1, len(self.ids)), kind)
         np.cumsum(hits, axis=0, out=sums[1:])
         out = np.zeros((high - low, len(self.ids)), bool)
         here = np.arange(low, high) - first
@@ -366,9 +385,9 @@ class Items:
             own = np.flatnonzero((self.span == span) & (self.reach == reach))
             part = sums[:, own]
             ends = np.minimum(np.arange(end - first) + span, end - first)
-            full = np.zeros(part.shape, np.int32)
-            np.cumsum(part[ends] - part[:-1] >= self.need[own], axis=0, out=full[1:])
-            out[:, own] = full[np.minimum(here + 2 + reach, end - first)] > full[np.maximum(here - reach, 0)]
+            full = np.zeros(part.shape, kind)
+            np.cumsum(part[ends] - part[:-1] >= self.need[own].astype(kind), axis=0, out=full[1:])
+            out[:, own] = full[np.minimum(here + 2 + reach, end - first)] != full[np.maximum(here - reach, 0)]
         return out
 
     def verify(self, at: int, words: list[bytes], low: int, high: int) -> tuple[float, int, int] | None:
@@ -380,7 +399,8 @@ class Items:
         near = words[low:high]
         need = SIMILARITY * len(item)
         # Each word that isn't there at all costs one match or more.
-        if len(item) - len(self.counts[at].keys() - set(near)) < need:
+        distinct = self.distinct[at]
+        if len(item) - len(distinct) + len(distinct.intersection(near)) < need:
             return None
         there = Counter(near)
         if sum(min(n, there[w]) for w, n in self.counts[at].items()) < need:
@@ -391,7 +411,12 @@ class Items:
         # The closest copy: the subsequence must lie within a stretch little longer than the item.
         best = (0, -1, -1)
         reach = len(item) + max(4, len(item) // 3)
+        # No subsequence is longer than the number of the item's words there.
+        sums = [0, *accumulate(w in distinct for w in near)]
         for start in range(0, max(1, len(near) - len(item) + 1), max(1, len(item) // 8)):
+            there_now = sums[min(start + reach, len(near))] - sums[start]
+            if there_now < need or there_now <= best[0] or best[0] == len(item):
+                continue
             n, first, last = longest_common(item, near[start : start + reach])
             if n > best[0]:
                 best = (n, start + first, start + last)

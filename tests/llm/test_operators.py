@@ -665,3 +665,35 @@ def test_op1_memory_of_a_run_of_texts_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6
+
+
+def test_op9_compares_only_stretches_that_may_hold_the_item(monkeypatch):
+    from folio.llm import latent_leaks as L
+
+    rng = np.random.default_rng(13)
+    words = lambda n: [b"w%d" % x for x in rng.zipf(1.3, n) % 900]
+    rows = [(k, b" ".join(words(int(rng.integers(9, 50)))).decode()) for k in range(30)]
+    items = L.Items(rows, rng.standard_normal((L.SIZE + 1, 4)).astype(np.float32))
+    real, calls, plain = L.longest_common, [], 0
+    monkeypatch.setattr(L, "longest_common", lambda a, b: calls.append(1) or real(a, b))
+    found = 0
+    for k in range(30):
+        item = items.words[k]
+        text = [*words(90), *paraphrased(rng, item, 0.02 * (k % 8)), *words(90)]
+        # Every stretch compared, the first best one taken.
+        reach, starts = len(item) + max(4, len(item) // 3), range(0, len(text) - len(item) + 1, max(1, len(item) // 8))
+        best = max(((*real(item, text[s : s + reach]), -s) for s in starts), key=lambda x: (x[0], x[3]))
+        plain += len(starts)
+        got = items.verify(k, text, 0, len(text))
+        if got:
+            found += 1
+            assert got == (best[0] / len(item), best[1] - best[3], best[2] - best[3])
+    assert found > 15 and len(calls) < plain / 2
+
+
+def test_op9_sums_of_strips():
+    rng = np.random.default_rng(14)
+    table, heads = rng.integers(0, 99, (50, 3)), np.array([0, 1, 4, 20, 21, 700, 702])
+    rows = rng.integers(0, 50, 703)
+    assert (latent_leaks.sums_of_strips(table, rows, heads) == np.add.reduceat(table[rows], heads, axis=0)).all()
+    assert latent_leaks.sums_of_strips(table, rows[:0], heads[:0]).shape == (0, 3)
